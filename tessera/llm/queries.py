@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, simhash_dedup, substring_dedup, suffix_dedup, token_counts
+from . import byte_bpe, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts
 from .common import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -13,6 +13,10 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), WORD_BPE, limit=2048)
 
@@ -37,5 +41,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.substring_dedup(read(spark, sf_dir, "documents"), width=20))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_suffix_dedup, op4_packing, op7_simhash_dedup, op9_byte_bpe, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_suffix_dedup, op4_packing, op7_simhash_dedup, op9_byte_bpe, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
