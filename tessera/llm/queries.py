@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts
+from . import byte_bpe, html_extract, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts
 from .common import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.digests(simhash_dedup.simhash_dedup(read(spark, sf_dir, "documents"), limit=4, shingle=4))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode_decode(read(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN))
 
@@ -46,5 +50,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.substring_dedup(read(spark, sf_dir, "documents"), width=20))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_suffix_dedup, op4_packing, op6_quality_classifier, op7_simhash_dedup, op9_byte_bpe, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_suffix_dedup, op4_packing, op6_quality_classifier, op7_simhash_dedup, op8_html_extract, op9_byte_bpe, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
