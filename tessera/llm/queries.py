@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_extract, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts
+from . import byte_bpe, embedding_dedup, html_extract, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts
 from .common import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(read(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end_id=1))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(read(spark, sf_dir, "embeddings"), limit=0.9)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     return quality_classifier.classify(documents, quality_classifier.fit(documents, read(spark, sf_dir, "labels")))
@@ -50,5 +54,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.substring_dedup(read(spark, sf_dir, "documents"), width=20))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_suffix_dedup, op4_packing, op6_quality_classifier, op7_simhash_dedup, op8_html_extract, op9_byte_bpe, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_suffix_dedup, op4_packing, op5_embedding_dedup, op6_quality_classifier, op7_simhash_dedup, op8_html_extract, op9_byte_bpe, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
