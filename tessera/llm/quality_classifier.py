@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bounded_batches, texts_of
 from .rolling import byte_spans
@@ -142,8 +143,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return Model(counts, np.array([r.label for r in found], np.int64))
 
 
-def classify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted, for each row."""
+def classify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted, and the columns of keep, for each row."""
     spark = documents.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -151,7 +152,10 @@ def classify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = shared.value.score(np.array([features(t) for t in batch.column(1).to_pylist()], np.float32).reshape(-1, N_FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(score)], schema.names)
 
-    scored = texts_of(documents, id_col, text_col).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    kept = [F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)]
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *kept)
+    schema = StructType([f for f in rows.schema.fields if f.name != "text"] + [StructField("score", DoubleType())])
+    scored = rows.mapInArrow(run, schema)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *(F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)))

@@ -82,24 +82,28 @@ COVERED = "aggregate(p, named_struct('last', -3, 'n', 0L), (a, x) -> named_struc
 N_REPEAT = f"CASE WHEN size(h) = 0 OR size(array_distinct(h)) = size(h) THEN 0L ELSE {let('p', STARTS, COVERED)} END"
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept."""
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept, and the columns of keep."""
+    own = [f"keep_{k}" for k in range(len(keep))]
     count = lambda pattern: f"CAST(char_length(regexp_replace(text, {quoted(pattern)}, '')) AS BIGINT)"
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.selectExpr("doc_id", "text", f"btrim(text, '{SPACES}') AS body", "CAST(char_length(text) AS BIGINT) AS n_chars", *(f"{count(p)} AS n_{c}" for c, p in CLASSES.items()), f"{count(SYMBOLS)} AS n_symbols")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(k) for k, c in zip(own, keep)))
+    rows = rows.selectExpr("doc_id", *own, "text", f"btrim(text, '{SPACES}') AS body", "CAST(char_length(text) AS BIGINT) AS n_chars", *(f"{count(p)} AS n_{c}" for c, p in CLASSES.items()), f"{count(SYMBOLS)} AS n_symbols")
     rows = rows.selectExpr("*", f"CASE WHEN body = '' THEN array() ELSE split(body, {quoted(SPACE)}) END AS words", f"filter(split(text, '\\n'), x -> btrim(x, '{SPACES}') <> '') AS lines")
     every = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
     listed = lambda words: ", ".join(map(quoted, words))
-    rows = rows.selectExpr("doc_id", "n_chars", *(f"n_{c}" for c in CLASSES), "n_symbols", "CAST(size(words) AS BIGINT) AS n_words", "CAST(size(lines) - size(array_distinct(lines)) AS BIGINT) AS n_dup_lines", "CASE WHEN size(words) < 3 THEN CAST(array() AS ARRAY<BIGINT>) ELSE transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])) END AS h", f"filter(words, w -> w IN ({listed(every)})) AS common")
+    rows = rows.selectExpr("doc_id", *own, "n_chars", *(f"n_{c}" for c in CLASSES), "n_symbols", "CAST(size(words) AS BIGINT) AS n_words", "CAST(size(lines) - size(array_distinct(lines)) AS BIGINT) AS n_dup_lines", "CASE WHEN size(words) < 3 THEN CAST(array() AS ARRAY<BIGINT>) ELSE transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])) END AS h", f"filter(words, w -> w IN ({listed(every)})) AS common")
     bins = [f"CAST(size(filter(common, w -> w IN ({listed(words.split()[a:b])}))) AS DOUBLE) AS {lang}_{k}" for lang, words in COMMON_WORDS.items() for k, (a, b, _) in enumerate(RANKS)]
-    rows = rows.selectExpr("doc_id", "n_chars", *(f"n_{c}" for c in CLASSES), "n_symbols", "n_words", "n_chars - n_space AS word_chars", "n_dup_lines", f"{N_REPEAT} AS n_repeat_words", *bins)
+    rows = rows.selectExpr("doc_id", *own, "n_chars", *(f"n_{c}" for c in CLASSES), "n_symbols", "n_words", "n_chars - n_space AS word_chars", "n_dup_lines", f"{N_REPEAT} AS n_repeat_words", *bins)
     rows = rows.selectExpr("*", f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed", f"n_words < {LEAST_WORDS} OR n_chars < {LEAST_CHARS} AS too_short")
     classes = [f"(n_{c} / n_chars)" for c in CLASSES]
     classes.append(f"((n_chars - {' - '.join(f'n_{c}' for c in CLASSES)}) / n_chars)")
     by_class = ", ".join(distance(classes, with_rest(shares)) for shares in CLASS_SHARES.values())
     by_word = []
     for lang in COMMON_WORDS:
-        own = [f"{lang}_{k}" for k in range(len(RANKS))]
-        by_word.append(distance([f"({c} / n_words)" for c in (*own, f"(n_words - {' - '.join(own)})")], with_rest(tuple(share for *_, share in RANKS))))
-    rows = rows.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", f"CASE WHEN too_short THEN NULL ELSE least({by_class}) END AS class_distance", f"CASE WHEN too_short THEN NULL ELSE least({', '.join(by_word)}) END AS word_distance")
-    return rows.selectExpr("*", f"NOT base_failed AND coalesce(class_distance <= {CLASS_LIMIT} AND word_distance <= {WORD_LIMIT}, false) AS kept")
+        ranks = [f"{lang}_{k}" for k in range(len(RANKS))]
+        by_word.append(distance([f"({c} / n_words)" for c in (*ranks, f"(n_words - {' - '.join(ranks)})")], with_rest(tuple(share for *_, share in RANKS))))
+    rows = rows.selectExpr("doc_id", *own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", f"CASE WHEN too_short THEN NULL ELSE least({by_class}) END AS class_distance", f"CASE WHEN too_short THEN NULL ELSE least({', '.join(by_word)}) END AS word_distance")
+    # The partition's number (always 0 or more) keeps a filter on the verdict above this projection: pushed below
+    # it, the filter would hold every expression written out, and lambdas would run their arrays anew for each element.
+    rows = rows.selectExpr("*", f"NOT base_failed AND coalesce(class_distance <= {CLASS_LIMIT} AND word_distance <= {WORD_LIMIT}, false) AND spark_partition_id() >= 0 AS kept")
+    return rows.select(*(c for c in rows.columns if c not in own), *(F.col(k).alias(c) for k, c in zip(own, keep)))
