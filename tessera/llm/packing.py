@@ -17,16 +17,19 @@ than the two named ones aren't read.
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, bounded_batches, texts_of
-from .units import UnitCache
+from .units import Generations, UnitCache
 
 #: Tokens of a shard: bounds memory and the sequences that a piece chooses from.
 SHARD_TOKENS = 1 << 22
@@ -36,14 +39,31 @@ FIELDS = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 
 
 class PackedIds:
-    """Ids of texts by the tokenizers library, as little-endian unsigned 32-bit numbers."""
+    """Ids of texts by the tokenizers library, as little-endian unsigned 32-bit numbers.
+
+    A unit seen for the first time is cut by the file's pattern and its pieces
+    go to the library's model; texts that aren't regular, or hold a special
+    string, go to the library as they are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.units = UnitCache(self.whole)
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        # Letters that stand for bytes: printable ones for themselves, the others from code point 256 on.
+        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in own)}
+        self.pieces = Generations(self.piece)
+        self.units = UnitCache(self.unit)
+
+    def piece(self, piece: str) -> bytes:
+        tokens = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def unit(self, unit: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.cut(unit)))
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -8,47 +8,57 @@ itself; the text is then a sequence of such units, most of them seen before.
 
 from __future__ import annotations
 
-#: Entries that a cache holds before it starts anew.
-MAX_ENTRIES = 400_000
-#: A character that no unit may hold; it marks the cuts.
-CUT = "\x01"
-
-
+#: Entries of a cache's generation; two generations are held, and what is asked for stays.
+MAX_ENTRIES = 600_000
 class Irregular(Exception):
     """White space that isn't single: the text has to be taken as a whole."""
 
 
-def units(text: str) -> list[str]:
-    return text.replace(" ", CUT + " ").replace("\n", f"{CUT}\n{CUT}").split(CUT)
-
+def regular(word: str) -> bool:
+    return bool(word) and not word[0].isspace() and not word[-1].isspace()
 
-def regular(unit: str) -> bool:
-    if unit == "\n":
-        return True
-    core = unit[1:] if unit[:1] == " " else unit
-    return bool(core) and not core[0].isspace() and not core[-1].isspace()
 
-
-class UnitCache(dict):
-    """unit: what make(unit) gives for it; a unit that isn't regular raises Irregular each time."""
+class Generations(dict):
+    """A bounded cache. When it is full it becomes the older generation, from which entries asked for come back."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
-    def __missing__(self, unit: str):
-        if not regular(unit):
-            raise Irregular
+    def __missing__(self, key: str):
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
         if len(self) >= MAX_ENTRIES:
+            self.older = dict(self)
             self.clear()
-        out = self[unit] = self.make(unit)
+        self[key] = out
         return out
 
+
+class UnitCache:
+    """Values of a text's units, each made once: a line's first word, a word with the space before it, a line feed."""
+
+    def __init__(self, make):
+        self.first = Generations(lambda word: make(word) if regular(word) else self.refuse())
+        self.spaced = Generations(lambda word: make(" " + word) if regular(word) else self.refuse())
+        self.feed = make("\n")
+
+    @staticmethod
+    def refuse():
+        raise Irregular
+
     def of(self, text: str) -> list | None:
         """The units' values in order; None if the text isn't regular."""
-        if CUT in text:
-            return None
+        out, first, spaced = [], self.first, self.spaced.__getitem__
         try:
-            return list(map(self.__getitem__, units(text)))
+            for line in text.split("\n"):
+                words = line.split(" ")
+                out.append(self.feed)
+                out.append(first[words[0]])
+                del words[0]
+                out.extend(map(spaced, words))
         except Irregular:
             return None
+        del out[0]
+        return out
