@@ -7,14 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas
+from .. import formats, schemas
 from ..functions.prompts import judge_messages
-from ..functions.text import strip
 from ..operators.checks import CheckFailed, not_empty, require_prefix, require_saved_subset, require_single
 from ..operators.evaluation import judged, metrics, ranking, report
 from ..operators.staging import todo
 from ..sources.files import exists, read_numbered_jsonl
-from ..sources.services import Client, batched_answers, called, split
+from ..sources.services import Client, batched_answers, called
 
 BATCH = 512
 
@@ -49,11 +48,11 @@ def answer_by_service(benchmark: DataFrame, client: Client, candidate: str, path
     require_saved_subset(before, benchmark)
     rest = todo(benchmark, before, "benchmark_index")
     if not rest.isEmpty():
-        replies = _kept(called(rest, client, workers=workers, retries=retries, wait_s=wait_s), f"{path}.replies")
-        good, bad = split(replies)
-        good = good.withColumn("answer", F.get_json_object("reply", "$.answer")).withColumn("candidate", F.lit(candidate))
-        _append(good.where("answer IS NOT NULL"), schemas.ANSWER, path)
-        _raise_failures(bad.unionByName(good.where("answer IS NULL").select(*replies.columns[:-1], "latency_ms").withColumn("error", F.lit("error:no answer")).select(bad.columns)))
+        rows = _kept(called(rest, client, workers=workers, retries=retries, wait_s=wait_s), f"{path}.replies")
+        rows = rows.withColumn("answer", F.get_json_object("reply", "$.answer")).withColumn("candidate", F.lit(candidate))
+        rows = rows.withColumn("error", F.coalesce("error", F.when(F.col("answer").isNull(), formats.ERROR + "the reply has no answer")))
+        _append(rows.where("error IS NULL"), schemas.ANSWER, path)
+        _raise_failures(rows.where("error IS NOT NULL"))
     return saved(spark, path, schemas.ANSWER).orderBy("benchmark_index")
 
 
@@ -68,7 +67,7 @@ def judge(answers: DataFrame, client: Client, path: str, workers: int = 6, retri
         rows = judged(_kept(called(requests, client, workers=workers, retries=retries, wait_s=wait_s), f"{path}.replies"))
         good = rows.where("judge IS NOT NULL").drop("latency_ms").withColumnRenamed("answer_ms", "latency_ms")
         _append(good, schemas.SCORED, path)
-        _raise_failures(rows.where("judge IS NULL").withColumn("error", F.coalesce("error", F.lit("error:the reply doesn't fit the schema"))))
+        _raise_failures(rows.where("judge IS NULL").withColumn("error", F.coalesce("error", F.lit(formats.ERROR + "the reply doesn't fit the schema"))))
     return saved(spark, path, schemas.SCORED)
 
 
@@ -95,4 +94,4 @@ def _raise_failures(bad: DataFrame) -> None:
         raise CheckFailed(f"{n} calls failed; first: {'; '.join(first)}")
 
 
-__all__ = ["answer_by_service", "answer_in_order", "benchmark_questions", "compare", "complete", "judge", "report", "strip"]
+__all__ = ["answer_by_service", "answer_in_order", "benchmark_questions", "compare", "complete", "judge", "report"]

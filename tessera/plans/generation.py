@@ -16,8 +16,6 @@ from ..operators.staging import Store, in_scope, pending, pilot_scope
 from ..sources.config import Settings
 from ..sources.services import Client, called
 
-SAVED = "append-only"
-
 
 def _payload(rows: DataFrame) -> DataFrame:
     return rows.select("context_id", F.to_json(F.struct(*rows.columns)).alias("payload"))
