@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, texts_of
 from .transducer import MergeTransducer
-from .units import MAX_ENTRIES, UnitCache
+from .units import Generations, UnitCache
 
 #: Tokens that decoding passes on at a time.
 DECODE_BLOCK = 8192
@@ -41,21 +41,16 @@ class ByteBPE:
         self.bytes = {v: k for k, v in ranks.items()}
         self.transducer = MergeTransducer(self.tokens, lambda a, b: self.tokens.get(a + b))
         self.pieces = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Generations(self.encode_piece)
         self.units = UnitCache(self.cut_and_encode)
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
-        out = self.known.get(piece)
-        if out is None:
-            if len(self.known) >= MAX_ENTRIES:
-                self.known.clear()
-            symbols = piece.encode().decode("latin-1")
-            whole = self.tokens.get(symbols)
-            out = self.known[piece] = (whole,) if whole is not None else tuple(self.transducer.encode(symbols))
-        return out
+        symbols = piece.encode().decode("latin-1")
+        whole = self.tokens.get(symbols)
+        return (whole,) if whole is not None else tuple(self.transducer.encode(symbols))
 
     def cut_and_encode(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.encode_piece, self.pieces(text))))
+        return tuple(chain.from_iterable(map(self.known.__getitem__, self.pieces(text))))
 
     def encode(self, text: str) -> list[int]:
         """Ids of the text, each match of the pattern encoded separately."""

@@ -61,12 +61,13 @@ class MergeTransducer:
         return parts
 
     def adjacent(self, left: int, right: int) -> bool:
+        """Whether two tokens can be neighbours; with -1 for the left one, whether merging gives the right one at all."""
         found = self.pairs.get((left, right))
         if found is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            a, b = self.names[left], self.names[right]
-            found = self.pairs[left, right] = self.merged(a + b) == [a, b]
+            own = [self.names[i] for i in (left, right) if i >= 0]
+            found = self.pairs[left, right] = self.merged("".join(own)) == own
         return found
 
     def ends(self, number: int, symbol: str) -> tuple[list[tuple], tuple]:
@@ -78,7 +79,7 @@ class MergeTransducer:
                 continue
             token = self.ids[child]
             if token >= 0 and whole is None:
-                fits = last < 0 or pairs.get((last, token))
+                fits = pairs.get((last, token))
                 if fits or fits is None and self.adjacent(last, token):
                     whole = (*pending, token)
             if children[child]:
