@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from .common import bounded_batches, texts_of
 from .transducer import MergeTransducer
-from .units import MAX_ENTRIES
+from .units import Generations
 
 #: Code points of a chunk.
 CHUNK = 1 << 16
@@ -61,8 +61,8 @@ class WordBPE:
         pairs = [tuple(x.split(" ") if isinstance(x, str) else x) for x in model["merges"]]
         ranks = {(final(a), final(b)): k for k, (a, b) in enumerate(pairs)}
         self.transducer = MergeTransducer(tokens, lambda a, b: ranks.get((a, b)))
-        self.known: dict[str, int] = {}
-        self.units = UnitCounts(self)
+        self.known = Generations(self.piece)
+        self.units = Generations(self.unit)
 
     @staticmethod
     def byte_letters() -> dict[str, int]:
@@ -73,19 +73,14 @@ class WordBPE:
 
     def piece(self, piece: str) -> int:
         """Tokens that the transducer emits on a piece."""
-        out = self.known.get(piece)
-        if out is None:
-            if len(self.known) >= MAX_ENTRIES:
-                self.known.clear()
-            symbols = piece.encode().decode("latin-1")
-            out = self.known[piece] = len(self.transducer.encode(symbols, chr(256 + ord(symbols[-1]))))
-        return out
+        symbols = piece.encode().decode("latin-1")
+        return len(self.transducer.encode(symbols, chr(256 + ord(symbols[-1]))))
 
     def unit(self, unit: str) -> int:
         """Tokens of a run without white space, after the file's normalisation."""
         # Lower-casing goes letter by letter, so a final sigma is like any other.
         low = unicodedata.normalize("NFC", unit).replace("Σ", "σ").lower()
-        return sum(map(self.piece, self.pieces(low)))
+        return sum(map(self.known.__getitem__, self.pieces(low)))
 
     def chunk(self, text: str) -> StateMap:
         parts = text.split()
@@ -128,19 +123,6 @@ class WordBPE:
         return self.plain(text)
 
 
-class UnitCounts(dict):
-    def __init__(self, owner: WordBPE):
-        super().__init__({"": 0})
-        self.owner = owner
-
-    def __missing__(self, unit: str) -> int:
-        if len(self) >= MAX_ENTRIES:
-            self.clear()
-            self[""] = 0
-        out = self[unit] = self.owner.unit(unit)
-        return out
-
-
 @functools.lru_cache(2)
 def counter(path: str) -> WordBPE:
     return WordBPE(path)
