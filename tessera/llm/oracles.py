@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .quality_rules import CLASS_LIMIT, CLASS_SHARES, CLASSES, COMMON_WORDS, LEAST_CHARS, LEAST_WORDS, RANKS, WORD_LIMIT
 
-SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
 def _least(columns: list[list[str]], references: list[tuple[float, ...]]) -> str:
@@ -19,7 +19,7 @@ def _least(columns: list[list[str]], references: list[tuple[float, ...]]) -> str
 
 def quality_rules() -> str:
     counts = ", ".join(f"CAST(length(regexp_replace(t, '{p.replace(chr(39), chr(39) * 2)}', '', 'g')) AS DOUBLE) / length(t) AS c_{name}" for name, p in CLASSES.items())
-    bins = ", ".join(f"len(list_filter(words, x -> x IN ({', '.join(repr(w) for w in words.split()[a:b])}))) / CAST(len(words) AS DOUBLE) AS {lang}_{k}" for lang, words in COMMON_WORDS.items() for k, (a, b, _) in enumerate(RANKS))
+    bins = ", ".join(f"len(list_filter(words, lambda x: x IN ({', '.join(repr(w) for w in words.split()[a:b])}))) / CAST(len(words) AS DOUBLE) AS {lang}_{k}" for lang, words in COMMON_WORDS.items() for k, (a, b, _) in enumerate(RANKS))
     classes = [f"c_{c}" for c in CLASSES]
     classes.append(f"(1 - {' - '.join(classes)})")
     words = []
@@ -27,7 +27,7 @@ def quality_rules() -> str:
         own = [f"{lang}_{k}" for k in range(len(RANKS))]
         words.append([*own, f"(1 - {' - '.join(own)})"])
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {SPLIT} AS words, list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {SPLIT} AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 win AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d)),
 rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
@@ -47,7 +47,7 @@ rep AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY w ORDE
 run AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM rep)),
 span AS (SELECT doc_id, r, min(i) AS a, max(i) + 100 AS b FROM run GROUP BY doc_id, r),
 cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS aa, list(b ORDER BY a) AS bb FROM span GROUP BY doc_id),
-kept AS (SELECT d.doc_id, x, n_spans, n_removed, CASE WHEN n_spans IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(aa) + 1), k -> substr(x, 2 * CASE WHEN k = 0 THEN 0 ELSE bb[k] END + 1, 2 * (CASE WHEN k = len(aa) THEN CAST(length(x) / 2 AS BIGINT) ELSE aa[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE bb[k] END))), '') END AS y FROM d LEFT JOIN cut USING (doc_id))
+kept AS (SELECT d.doc_id, x, n_spans, n_removed, CASE WHEN n_spans IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(aa) + 1), lambda k: substr(x, 2 * CASE WHEN k = 0 THEN 0 ELSE bb[k] END + 1, 2 * (CASE WHEN k = len(aa) THEN CAST(length(x) / 2 AS BIGINT) ELSE aa[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE bb[k] END))), '') END AS y FROM d LEFT JOIN cut USING (doc_id))
 SELECT doc_id, CAST(length(x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(y)) AS kept_sha256 FROM kept"""
 
 EMBEDDING_DEDUP = """
