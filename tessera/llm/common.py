@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch, and bytes where the Spark version has that bound.
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 #: Buckets for each shuffle partition, so that hashing deals them evenly.
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 2
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +30,9 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def buckets(spark: SparkSession) -> int:
+def buckets(spark: SparkSession, per_partition: int = BUCKETS_PER_PARTITION) -> int:
     """Buckets follow spark.sql.shuffle.partitions, which a cluster sizes by its input."""
-    return BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,14 +45,25 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes the rows as Parquet to the shared folder and reads them again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes what this application has materialized; call it when its results are written elsewhere."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) with null texts as empty ones; other columns don't matter."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

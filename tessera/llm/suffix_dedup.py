@@ -43,6 +43,8 @@ from .rolling import byte_spans, mix, pack_columns, packed_rows, runs, unpack_al
 GRAM, HALF = 32, 32
 #: Bytes whose suffixes are taken at once, and bytes of a chunk that settles its own repeats.
 STRETCH, CHUNK = 1 << 20, 16 << 20
+#: Bytes of documents, and windows, that the later digits take at once.
+TEXTS, WINDOWS = 4 << 20, 1 << 20
 #: Kinds of rows: first-digit records, covered runs, windows for the second digit, second-digit records.
 FIRST, COVERED, OPEN, SECOND = 0, 1, 2, 3
 ANCHOR = np.dtype([("gram", "<u8"), ("around", "<u8"), *MARK.descr])
@@ -120,15 +122,15 @@ def settle(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([alone, send]), some[~new_class & real], some[new_class & many & real]
 
 
-def first_digit(batches: Iterator[pa.RecordBatch], width: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def first_digit(batches: Iterator[pa.RecordBatch], width: int, n_keys: int, n_docs: int) -> Iterator[pa.RecordBatch]:
     """Anchors of the documents, settled chunk by chunk."""
     step = STRETCH
 
     def send(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         on, covered, more = settle(np.concatenate(found))
-        rows = packed_rows(hash_bucket(on["gram"], n_buckets), FIRST, on)
-        rows += mark_rows(merged(covered[list(MARK.names)].astype(MARK)), COVERED, n_buckets)
-        rows += mark_rows(more[list(MARK.names)].astype(MARK), OPEN, n_buckets)
+        rows = packed_rows(hash_bucket(on["gram"], n_keys), FIRST, on)
+        rows += mark_rows(merged(covered[list(MARK.names)].astype(MARK)), COVERED, n_docs)
+        rows += mark_rows(more[list(MARK.names)].astype(MARK), OPEN, n_docs)
         yield from blob_table(rows).to_batches()
 
     def stretches() -> Iterator[list]:
@@ -173,38 +175,53 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[
         yield *at, blobs
 
 
-def first_groups(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+def first_groups(batches: Iterator[pa.RecordBatch], n_docs: int) -> Iterator[pa.RecordBatch]:
     """Equal first digits over all chunks: what is covered, and what needs the next digit."""
     for kind, bucket, blobs in grouped(batches):
         if kind != FIRST:
             yield from blob_table([(bucket, kind, b) for b in blobs]).to_batches()
             continue
         _, covered, more = settle(unpack_all(blobs, ANCHOR))
-        rows = [r for found, k in ((covered, COVERED), (more, OPEN)) for r in mark_rows(found[list(MARK.names)].astype(MARK), k, n_buckets)]
+        rows = [r for found, k in ((covered, COVERED), (more, OPEN)) for r in mark_rows(found[list(MARK.names)].astype(MARK), k, n_docs)]
         if rows:
             yield from blob_table(rows).to_batches()
 
 
-def second_digit(docs: pa.Table, rows: pa.Table, width: int, n_buckets: int) -> pa.Table:
+def second_digit(docs: pa.Table, rows: pa.Table, width: int, n_keys: int) -> pa.Table:
     """Second-digit records with the bytes of their windows; covered runs pass."""
-    out = [(int(rows["bucket"][0].as_py()), COVERED, d) for d in by_kind(rows, COVERED)]
+    covered = merged(unpack_all(by_kind(rows, COVERED), MARK))
+    out = [(int(rows["bucket"][0].as_py()), COVERED, pack_columns(covered))] if len(covered) else []
     marks = unpack_all(by_kind(rows, OPEN), MARK)
     if not len(marks) or not docs.num_rows:
         return blob_table(out)
     bucket = Bucket(docs)
     of = bucket.find(marks)
-    used, inverse = np.unique(of, return_inverse=True)
-    texts = [bucket.text(k) for k in used.tolist()]
-    offset = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    joined = b"".join(texts)
+    order = np.argsort(of, kind="stable")
+    of, marks = of[order], marks[order]
+    first, last = runs(of[1:] != of[:-1])
+    texts, size, begun = [], 0, 0
+    for k, (a, b) in enumerate(zip(first, last)):
+        texts.append((bucket.text(int(of[a])), int(b - a)))
+        size += len(texts[-1][0])
+        if size >= TEXTS or k == len(first) - 1:
+            out += second_records(texts, marks[begun:b], width, n_keys)
+            texts, size, begun = [], 0, b
+    return blob_table(out)
+
+
+def second_records(texts: list[tuple[bytes, int]], marks: np.ndarray, width: int, n_keys: int) -> list[tuple[int, int, bytes]]:
+    """Rows of texts, each with the number of its marks, which come in the same order."""
+    joined = b"".join(t for t, _ in texts)
     spans = byte_spans(np.frombuffer(joined, np.uint8))
-    begin = offset[inverse] + marks["start"]
+    offset = np.cumsum([0, *(len(t) for t, _ in texts[:-1])])
+    begin = np.repeat(offset, [n for _, n in texts]) + marks["start"]
     anchor = begin + marks["lead"]
     # Windows that reach HALF bytes or more to the left of the anchor, and the others.
     n_left = np.clip(marks["lead"].astype(np.int64) - HALF + 1, 0, marks["n"])
-    n_right = marks["n"] - n_left
+    left = n_left, 0 * n_left, lambda r: spans.of(anchor[r] - HALF, anchor[r] + min(GRAM, width - HALF))
+    right = marks["n"] - n_left, n_left, lambda r: spans.of(anchor[r], anchor[r] + width - HALF + 1)
     parts = []
-    for n, skip, key in ((n_left, 0 * n_left, lambda r: spans.of(anchor[r] - HALF, anchor[r] + min(GRAM, width - HALF))), (n_right, n_left, lambda r: spans.of(anchor[r], anchor[r] + width - HALF + 1))):
+    for n, skip, key in (left, right):
         r = np.flatnonzero(n > 0)
         part = np.empty(len(r), LATER)
         part["key"] = mix(key(r) + np.uint64(len(parts)))
@@ -213,16 +230,17 @@ def second_digit(docs: pa.Table, rows: pa.Table, width: int, n_buckets: int) ->
         part["start"], part["n"], part["lead"] = marks["start"][r] + skip[r], n[r], marks["lead"][r] - skip[r]
         parts.append((part, begin[r] + skip[r]))
     records, at = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    to = hash_bucket(records["key"], n_buckets)
+    to = hash_bucket(records["key"], n_keys)
     order = np.argsort(to, kind="stable")
     to, records, at = to[order], records[order], at[order]
+    out = []
     for a, b in zip(*runs(to[1:] != to[:-1])):
         near = b"".join([joined[s : s + n + width - 1] for s, n in zip(at[a:b].tolist(), records["n"][a:b].tolist())])
         out.append((int(to[a]), SECOND, pack_columns(records[a:b]) + near))
-    return blob_table(out)
+    return out
 
 
-def last_groups(batches: Iterator[pa.RecordBatch], width: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def last_groups(batches: Iterator[pa.RecordBatch], width: int, n_docs: int) -> Iterator[pa.RecordBatch]:
     """Windows equal through the whole depth: all but the earliest are covered."""
     for kind, bucket, blobs in grouped(batches):
         if kind != SECOND:
@@ -231,28 +249,36 @@ def last_groups(batches: Iterator[pa.RecordBatch], width: int, n_buckets: int) -
         found = [unpack_columns(b, LATER) for b in blobs]
         records = np.concatenate([f[0] for f in found])
         data = np.frombuffer(b"".join(b[n:] for b, (_, n) in zip(blobs, found)), np.uint8)
-        size = records["n"].astype(np.int64) + width - 1
-        at = np.cumsum(size) - size
+        at = np.cumsum(records["n"].astype(np.int64) + width - 1) - (records["n"] + width - 1)
         often = np.flatnonzero(shared(records, "key"))
-        if not len(often):
-            continue
-        often = often[np.lexsort(tuple(records[c][often] for c in ("start", "version", "doc")))]
-        records, at = records[often], at[often]
-        n = records["n"].astype(np.int64)
-        owner = np.repeat(np.arange(len(records)), n)
-        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        begin = at[owner] + nth
-        digits = [byte_spans(data, w).of(begin, begin + width) for w in (0, 1)]
-        order = np.lexsort((np.arange(len(owner)), digits[1], digits[0]))
-        again = np.zeros(len(owner), bool)
-        again[order[1:]] = (digits[0][order[1:]] == digits[0][order[:-1]]) & (digits[1][order[1:]] == digits[1][order[:-1]])
-        # A document's own row may come twice (rows that agree in id and text): an equal place isn't earlier.
-        k = np.flatnonzero(again)
-        marks = np.zeros(len(k), MARK)
-        for name in ("doc", "version"):
-            marks[name] = records[name][owner[k]]
-        marks["start"], marks["n"] = records["start"][owner[k]] + nth[k], 1
-        yield from blob_table(mark_rows(merged(marks), COVERED, n_buckets)).to_batches()
+        # Equal keys stay together; so many windows at once as memory is meant for.
+        turns = 1 + int(records["n"][often].sum()) // WINDOWS
+        turn = mix(records["key"][often]) % np.uint64(turns)
+        marks = [repeated(records[k], at[k], data, width) for k in (often[turn == t] for t in range(turns)) if len(k)]
+        if marks:
+            yield from blob_table(mark_rows(merged(np.concatenate(marks)), COVERED, n_docs)).to_batches()
+
+
+def repeated(records: np.ndarray, at: np.ndarray, data: np.ndarray, width: int) -> np.ndarray:
+    """Marks of the windows that are equal to an earlier one; at: where each record's bytes begin in data."""
+    order = np.lexsort(tuple(records[c] for c in ("start", "version", "doc")))
+    records, at = records[order], at[order]
+    n = records["n"].astype(np.int64)
+    size = n + width - 1
+    near = data[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    owner = np.repeat(np.arange(len(records)), n)
+    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    begin = (np.cumsum(size) - size)[owner] + nth
+    digits = [byte_spans(near, w).of(begin, begin + width) for w in (0, 1)]
+    order = np.lexsort((np.arange(len(owner)), digits[1], digits[0]))
+    again = np.zeros(len(owner), bool)
+    again[order[1:]] = (digits[0][order[1:]] == digits[0][order[:-1]]) & (digits[1][order[1:]] == digits[1][order[:-1]])
+    k = np.flatnonzero(again)
+    marks = np.zeros(len(k), MARK)
+    for name in ("doc", "version"):
+        marks[name] = records[name][owner[k]]
+    marks["start"], marks["n"] = records["start"][owner[k]] + nth[k], 1
+    return merged(marks)
 
 
 def removal(docs: pa.Table, rows: pa.Table, width: int, keep: int, schema: pa.Schema) -> pa.Table:
@@ -280,14 +306,28 @@ def suffix_dedup(df: DataFrame, width: int = 100, id_col: str = "doc_id", text_c
         raise ValueError(f"width must lie between {max(GRAM, HALF) + HALF} and 255")
     spark = df.sparkSession
     bounded_batches(spark)
-    n = buckets(spark)
-    docs = dealt(df, n, id_col, text_col, keep)
+    # Documents are dealt into as many buckets as there are partitions, keys into more: a row is sent from each to each.
+    n_docs, n_keys = buckets(spark, 1), buckets(spark, 2)
+    docs = dealt(df, n_docs, id_col, text_col, keep)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_bucket = lambda rows: rows.repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket")
-    found = docs.select("doc", "version", "text").mapInArrow(lambda it: first_digit(it, width, n), BLOB_DDL)
-    found = by_bucket(found).mapInArrow(lambda it: first_groups(it, n), BLOB_DDL)
-    found = docs.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(lambda a, b: second_digit(a, b, width, n), BLOB_DDL)
-    found = by_bucket(found).mapInArrow(lambda it: last_groups(it, width, n), BLOB_DDL)
+
+    def digit_1(batches):
+        return first_digit(batches, width, n_keys, n_docs)
+
+    def groups_1(batches):
+        return first_groups(batches, n_docs)
+
+    def digit_2(own, rows):
+        return second_digit(own, rows, width, n_keys)
+
+    def groups_2(batches):
+        return last_groups(batches, width, n_docs)
+
+    found = docs.select("doc", "version", "text").mapInArrow(digit_1, BLOB_DDL)
+    found = by_bucket(found).mapInArrow(groups_1, BLOB_DDL)
+    found = docs.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(digit_2, BLOB_DDL)
+    found = by_bucket(found).mapInArrow(groups_2, BLOB_DDL)
     kinds = [T.StructField(f"keep_{k}", df.schema[c].dataType) for k, c in enumerate(keep)]
     out = T.StructType([T.StructField("doc", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType()), *kinds])
     schema = to_arrow_schema(out)
