@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,3 +56,18 @@ def source_manifest(rows: DataFrame) -> DataFrame:
     # Pages are folded in 4096 ranges of a hash, then those in order: bounded lists at any size.
     ranges = pages.groupBy(F.pmod(F.xxhash64(*PAGE), F.lit(4096)).alias("range")).agg(ordered(F.col("digest"), *PAGE).alias("digest"), F.count("*").alias("documents"), F.sum("chunks").alias("chunks"))
     return ranges.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("document_count"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunk_count"), ordered(F.col("digest"), "range").alias("manifest_sha256"))
+
+
+def portable_digest(rows: DataFrame) -> str:
+    """The digest that a JSON list of all identities has, keys sorted, as other tools compute it.
+
+    One hash over all rows in order can't be split; rows stream through the
+    driver one by one, so use it for corpora of that size, and source_manifest
+    for others.
+    """
+    digest, joint = hashlib.sha256(b"["), b""
+    for row in rows.select(*IDENTITY, "position").orderBy(*scan_order()).select(IDENTITY).toLocalIterator():
+        digest.update(joint + json.dumps(row.asDict(), sort_keys=True).encode())
+        joint = b", "
+    digest.update(b"]")
+    return digest.hexdigest()

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import json
 import random
 
 import pytest
@@ -117,3 +119,7 @@ def test_scan_and_manifest(spark):
     changed = rows.withColumn("source_content_hash", F.when(F.col("position") == 0, "other").otherwise(F.col("source_content_hash")))
     assert corpus.source_manifest(changed).first().manifest_sha256 != one.manifest_sha256
     assert corpus.source_manifest(rows.where("false")).first().chunk_count == 0
+    names = ("doc_id", "document_version", "chunk_id", "source_content_hash")
+    plain = [{c: r[c] for c in names} for r in rows.orderBy("doc_id", "document_version", "position").collect()]
+    for some, own in ((rows, plain), (rows.where("false"), [])):
+        assert corpus.portable_digest(some) == hashlib.sha256(json.dumps(own, sort_keys=True).encode()).hexdigest()
