@@ -42,9 +42,9 @@ from .rolling import byte_spans, mix, pack_columns, packed_rows, runs, unpack_al
 #: Bytes of the first digit, and of the second one's reach to the left of an anchor.
 GRAM, HALF = 32, 32
 #: Bytes whose suffixes are taken at once, and bytes of a chunk that settles its own repeats.
-STRETCH, CHUNK = 1 << 20, 16 << 20
+STRETCH, CHUNK = 1 << 19, 16 << 20
 #: Bytes of documents, and windows, that the later digits take at once.
-TEXTS, WINDOWS = 4 << 20, 1 << 20
+TEXTS, WINDOWS = 2 << 20, 1 << 19
 #: Kinds of rows: first-digit records, covered runs, windows for the second digit, second-digit records.
 FIRST, COVERED, OPEN, SECOND = 0, 1, 2, 3
 ANCHOR = np.dtype([("gram", "<u8"), ("around", "<u8"), *MARK.descr])
