@@ -47,7 +47,7 @@ SYMBOLS = r"[^#*$%&|<>]+"
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \\u0009\\u000A\\u000B\\u000C\\u000D"
 #: Limits of the distances, least words (also the base rule's) and characters.
-CLASS_LIMIT, WORD_LIMIT, LEAST_WORDS, LEAST_CHARS = 0.16, 0.26, 50, 200
+CLASS_LIMIT, WORD_LIMIT, LEAST_WORDS, LEAST_CHARS = 0.16, 0.30, 50, 200
 #: Repeated windows of a document up to which they are looked up one after the other.
 FEW = 64
 

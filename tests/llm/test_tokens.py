@@ -155,7 +155,7 @@ def test_packing_edges(spark):
 
 def test_shards_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_TOKENS", 50)
-    ids = packing.PackedIds(JSON)
+    ids = packing.PackedIds(JSON, 100)
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(corpus(8, 30)[:40])], ["doc_id", "text"])
