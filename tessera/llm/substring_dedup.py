@@ -35,6 +35,8 @@ from .suffix_dedup import grouped, shared
 #: Bits of a window's cell digest, and rows and bits of the merged counters of a segment.
 CELL_BITS, DEPTH, WIDTH_BITS = 28, 2, 22
 CELLS, AGAIN, WINDOWS, COVERED = 0, 1, 2, 3
+#: Bytes of texts whose words are hashed at once.
+STRETCH = 1 << 20
 #: "doc" is the column that pack_columns keeps as differences.
 CELL = np.dtype([("doc", "<u4"), ("twice", "<u1")])
 WINDOW = np.dtype([("high", "<u8"), ("low", "<u4"), ("doc", "<i8"), ("version", "<u4"), ("start", "<u4")])
@@ -65,26 +67,33 @@ class Windows:
     """The windows of a bucket's documents: digest, and where each begins."""
 
     def __init__(self, bucket: Bucket, width: int):
-        texts = [bucket.text(k) for k in range(len(bucket.doc))]
+        # Rows that agree in id and text are one document: the first stands for all.
+        same = np.concatenate([[False], (bucket.doc[1:] == bucket.doc[:-1]) & (bucket.version[1:] == bucket.version[:-1])])
+        parts, texts, first = [self.part([], 0, width)], [], 0
+        size = 0
+        for k in range(len(bucket.doc)):
+            texts.append(b"" if same[k] else bucket.text(k))
+            size += len(texts[-1])
+            if size >= STRETCH or k == len(bucket.doc) - 1:
+                parts.append(self.part(texts, first, width))
+                texts, first, size = [], k + 1, 0
+        self.owner, self.start, self.high, self.low = map(np.concatenate, zip(*parts))
+
+    @staticmethod
+    def part(texts: list[bytes], first: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the document, first word, and digest of the windows of a few texts."""
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         space = SPACES[data]
         begin = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
         end = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-        edges = np.cumsum([len(t) + 1 for t in texts])
-        owner = np.searchsorted(edges, begin, side="right")
+        owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, side="right")
         words = byte_spans(data).of(begin, end)
         n = max(0, len(words) - width + 1)
-        first = np.searchsorted(owner, np.arange(len(texts)))
         good = np.flatnonzero(owner[:n] == owner[width - 1 :][:n])
-        self.owner = owner[good]
-        self.start = good - first[self.owner]
-        self.high = Spans(words, 0).all(width)[good] if n else np.zeros(0, np.uint64)
-        self.low = (Spans(words, 1).all(width)[good] >> np.uint64(32)).astype(np.uint32) if n else np.zeros(0, np.uint32)
-        # Rows that agree in id and text are one document: the first stands for all.
-        same = np.concatenate([[False], (bucket.doc[1:] == bucket.doc[:-1]) & (bucket.version[1:] == bucket.version[:-1])])
-        if same.any():
-            keep = ~same[self.owner]
-            self.owner, self.start, self.high, self.low = self.owner[keep], self.start[keep], self.high[keep], self.low[keep]
+        place = np.searchsorted(owner, np.arange(len(texts)))
+        high, low = (Spans(words, w).all(width)[good] for w in (0, 1))
+        own = owner[good]
+        return own + first, good - place[own] if len(own) else good, high, (low >> np.uint64(32)).astype(np.uint32)
 
     def cells(self, n_segments: int) -> np.ndarray:
         """Segment in the high bits, cell digest in the low ones."""
