@@ -33,6 +33,8 @@ from .units import Generations, UnitCache
 
 #: Tokens of a shard: bounds memory and the sequences that a piece chooses from.
 SHARD_TOKENS = 1 << 22
+#: Units and pieces remembered by default, about 200 bytes each, in each of two generations.
+CACHE = 600_000
 #: Attention cost of n tokens in one piece: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 FIELDS = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -46,7 +48,7 @@ class PackedIds:
     string, go to the library as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -55,8 +57,8 @@ class PackedIds:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         # Letters that stand for bytes: printable ones for themselves, the others from code point 256 on.
         self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in own)}
-        self.pieces = Generations(self.piece)
-        self.units = UnitCache(self.unit)
+        self.pieces = Generations(self.piece, cache)
+        self.units = UnitCache(self.unit, cache)
 
     def piece(self, piece: str) -> bytes:
         tokens = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
@@ -74,8 +76,8 @@ class PackedIds:
 
 
 @functools.lru_cache(2)
-def packed_ids(path: str) -> PackedIds:
-    return PackedIds(path)
+def packed_ids(path: str, cache: int) -> PackedIds:
+    return PackedIds(path, cache)
 
 
 def cost(n):
@@ -122,13 +124,17 @@ def shards(batches: Iterable[pa.RecordBatch], ids: PackedIds, end: bytes) -> Ite
         yield keys, texts
 
 
-def pack(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (packed as in PackedIds)."""
+def pack(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
+    """One row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (packed as in PackedIds).
+
+    cache: units and pieces that a worker remembers in a generation. It keeps
+    them between tasks; take fewer where other steps need its memory after it.
+    """
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
-        for keys, texts in shards(batches, packed_ids(path), np.uint32(end_id).tobytes()):
+        for keys, texts in shards(batches, packed_ids(path, cache), np.uint32(end_id).tobytes()):
             lengths = np.array([len(t) // 4 for t in texts], np.int64)
             out, used = [], 0
             for d, start, n, s, offset in assign(lengths, capacity):

@@ -21,15 +21,15 @@ def regular(word: str) -> bool:
 class Generations(dict):
     """A bounded cache. When it is full it becomes the older generation, from which entries asked for come back."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int | None = None):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older, self.size = make, {}, size or MAX_ENTRIES
 
     def __missing__(self, key: str):
         out = self.older.get(key)
         if out is None:
             out = self.make(key)
-        if len(self) >= MAX_ENTRIES:
+        if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
         self[key] = out
@@ -39,9 +39,9 @@ class Generations(dict):
 class UnitCache:
     """Values of a text's units, each made once: a line's first word, a word with the space before it, a line feed."""
 
-    def __init__(self, make):
-        self.first = Generations(lambda word: make(word) if regular(word) else self.refuse())
-        self.spaced = Generations(lambda word: make(" " + word) if regular(word) else self.refuse())
+    def __init__(self, make, size: int | None = None):
+        self.first = Generations(lambda word: make(word) if regular(word) else self.refuse(), size)
+        self.spaced = Generations(lambda word: make(" " + word) if regular(word) else self.refuse(), size)
         self.feed = make("\n")
 
     @staticmethod
