@@ -53,7 +53,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences."""
-    return packing.digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1))
+    return packing.digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1, cache=100_000))
 
 
 STAGES = [("quality classifier", classify), ("quality rules", rules), ("near dedup", near_dedup), ("suffix dedup", repeats), ("packing", pack)]
