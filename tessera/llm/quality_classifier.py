@@ -35,14 +35,15 @@ from .rolling import byte_spans
 SAMPLE = 1000
 #: Dimensions of the latent space, neighbours that vote, and documents whose cosines are taken at once.
 RANK, NEIGHBOURS, BLOCK = 24, 15, 256
-#: Kinds of bytes: small letters, capitals, digits, spaces, line feeds, bytes beyond ASCII; each other byte is its own.
-SMALL, CAPITAL, DIGIT, SPACE, LINE, WIDE = range(6)
+#: Kinds of bytes: small letters, capitals, digits, spaces, line feeds, controls, bytes beyond ASCII; each mark is its own.
+SMALL, CAPITAL, DIGIT, SPACE, LINE, CONTROL, WIDE = range(7)
 #: Distances between equal words that are counted, and the weight of that count.
 LAGS, LAG_WEIGHT = (1, 2, 3), 4.0
 
 
 def byte_kinds() -> np.ndarray:
     kinds = np.full(256, -1)
+    kinds[[*range(32), 127]] = CONTROL
     kinds[ord("a") : ord("z") + 1], kinds[ord("A") : ord("Z") + 1], kinds[ord("0") : ord("9") + 1] = SMALL, CAPITAL, DIGIT
     kinds[[9, 11, 12, 13, 32]], kinds[10], kinds[128:] = SPACE, LINE, WIDE
     rest = np.flatnonzero(kinds < 0)
