@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 from .. import formats
 
-#: U+001C to U+001F count as white space in Python, but not in Java's Unicode class.
-SPACE = r"[\x1c-\x1f\s]"
+# The code points that Python's str takes as white space, as a character class and one by one.
+SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize(text: Column) -> Column:
     """One space for each run of white space, stripped, in lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, rf"(?U){SPACE}+", " "), "^ | $", ""))
+    return F.lower(F.btrim(F.regexp_replace(text, f"{SPACE}+", " ")))
 
 
 def estimate_tokens(text: Column, chars_per_token: float = formats.CHARS_PER_TOKEN) -> Column:

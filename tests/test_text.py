@@ -20,6 +20,12 @@ def test_white_space_is_unicode(spark):
     assert values(spark, SPACED, normalize) == [None if t is None else " ".join(t.split()).lower() for t in SPACED]
 
 
+def test_every_white_space_character(spark):
+    points = [chr(k) for k in range(1, 0x10000) if not 0xD800 <= k < 0xE000]
+    assert [c for c, x in zip(points, values(spark, points, strip)) if x == ""] == [c for c in points if c.isspace()]
+    assert [c for c, x in zip(points, values(spark, [f"a{c}b" for c in points], normalize)) if x == "a b"] == [c for c in points if c.isspace()]
+
+
 def test_estimates(spark):
     assert values(spark, ["", "abcd", "abcde", "é" * 9], estimate_tokens) == [0, 1, 2, 3]
     with pytest.raises(ValueError):
