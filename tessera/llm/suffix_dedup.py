@@ -92,6 +92,14 @@ def ordered(records: np.ndarray, *digits: str) -> np.ndarray:
     return records[np.lexsort((records["start"], records["version"], records["doc"], *(records[d] for d in reversed(digits))))]
 
 
+def once(records: np.ndarray) -> np.ndarray:
+    """Ordered records without those that equal rows repeat: a window isn't its own earlier copy."""
+    if len(records) < 2:
+        return records
+    same = np.logical_and.reduce([records[c][1:] == records[c][:-1] for c in records.dtype.names])
+    return records[np.concatenate([[True], ~same])]
+
+
 def shared(records: np.ndarray, digit: str) -> np.ndarray:
     """Records whose digit occurs more than once: one radix pass."""
     order = np.argsort(records[digit], kind="stable")
@@ -108,7 +116,7 @@ def shared(records: np.ndarray, digit: str) -> np.ndarray:
 def settle(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one radix group's records: those to send on, those covered, and those that need the next digit."""
     often = shared(records, "gram")
-    alone, some = records[~often], ordered(records[often], "gram", "around")
+    alone, some = records[~often], once(ordered(records[often], "gram", "around"))
     if not len(some):
         return alone, some, some
     new_gram = np.concatenate([[True], some["gram"][1:] != some["gram"][:-1]])
@@ -191,7 +199,8 @@ def second_digit(docs: pa.Table, rows: pa.Table, width: int, n_keys: int) -> pa.
     """Second-digit records with the bytes of their windows; covered runs pass."""
     covered = merged(unpack_all(by_kind(rows, COVERED), MARK))
     out = [(int(rows["bucket"][0].as_py()), COVERED, pack_columns(covered))] if len(covered) else []
-    marks = unpack_all(by_kind(rows, OPEN), MARK)
+    # All marks of a document meet here, so what equal rows opened in different chunks is made one.
+    marks = once(ordered(unpack_all(by_kind(rows, OPEN), MARK)))
     if not len(marks) or not docs.num_rows:
         return blob_table(out)
     bucket = Bucket(docs)

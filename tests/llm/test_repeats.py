@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tessera.llm.common import BLOB_SCHEMA
 from tessera.llm import dedup_docs, rolling, substring_dedup, suffix_dedup
 
-from .helpers import EDGES, corpus, empty, frame, with_null_id
+from .helpers import EDGES, corpus, empty, frame, passage, with_null_id
 
 
 def brute(items, width, join):
@@ -96,6 +96,21 @@ def test_ids_that_are_null_or_shared(spark, run):
     assert len(twins) == 2 and twins[0] == twins[1] and null.n_removed < twins[0].n_removed
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_equal_rows_keep_their_first_copy(spark, parts):
+    """Twins without an earlier copy, in one chunk and in several, alone and with documents that share a part."""
+    import random
+
+    rng = random.Random(11)
+    a, b, c = (passage(rng, 60) for _ in range(3))
+    texts = {1: a, 2: a[:200] + b, 3: c[:150] + a[100:], 4: "loop " * 60}
+    rows = [(k, texts[k]) for k in (1, 2, 3, 4, 1, 2, 3, 4, 2)]
+    expected = dict(zip(texts, brute([list(t.encode()) for t in texts.values()], 100, bytes)))
+    found = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+    assert len(found) == len(rows) and expected[1][1] == 0
+    assert all(bytes(r.kept) == expected[r.doc_id][2] for r in found)
+
+
 def test_extra_columns_come_along(spark):
     rows = spark.createDataFrame([(0, "t" * 150, "en", 5), (1, "t" * 150, None, None)], "doc_id long, text string, lang string, n_chars long")
     found = suffix_dedup.suffix_dedup(rows, keep=("lang", "n_chars")).orderBy("doc_id").collect()
