@@ -9,10 +9,10 @@ documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup
+from tessera.llm import near_copies, packing, quality_classifier, quality_rules, suffix_dedup
 from tessera.llm.common import materialize, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,14 +30,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies; of rows that share that id, one."""
-    first = simhash_dedup.simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    ids = kept.groupBy("doc_id").count().where("count > 1").limit(1)
-    if ids.isEmpty():
-        return kept.select(*COLUMNS)
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.sha2("text", 256), *COLUMNS[2:]))
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(*COLUMNS)
+    """One document of each group of near copies: that of the smallest id. Rows that share an id, or have none, go only if they are near copies."""
+    return near_copies.one_of_each(docs.select(*COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

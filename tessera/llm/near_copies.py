@@ -1,0 +1,130 @@
+"""Near copies by the words they share: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Candidates share one of BANDS keys, each of ROWS minimum hashes: a pair at
+exactly 0.8 has none in common with a probability of 3 in a million, a more
+similar one with less. Every candidate pair is verified by the exact
+similarity of its texts, unless links found before already join it.
+
+Candidates are taken in rounds, so that texts that are already in one group
+aren't compared again: each text with the least of its key, in a few bands and
+then in all, and at last all pairs of a key that are still in different groups.
+A large set of texts that are alike, but less than 0.8, is compared pair by pair.
+
+Defined cases: a text of fewer words than a shingle is one shingle; texts
+without words (null ones too) are copies of each other; words are compared in
+lower case (ASCII); equal texts are made one row first, by SHA-256.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bounded_batches, materialize
+from .components import components
+from .rolling import mix
+
+#: Words of a shingle, and the least similarity as a fraction.
+SHINGLE, LEAST = 5, (4, 5)
+#: Keys of a text, minimum hashes of a key, bands of the first round, and shingles that are hashed at once.
+BANDS, ROWS, FIRST_BANDS, BLOCK = 32, 5, 4, 1024
+SEED = 42
+_rng = np.random.default_rng(SEED)
+FACTORS = _rng.integers(0, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+TERMS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+
+
+def shingles(text: str) -> set[bytes]:
+    words = text.encode().lower().split()
+    return {b" ".join(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))}
+
+
+def keys(text: str) -> np.ndarray:
+    """The keys of a text, one for each band."""
+    digest = xxhash.xxh32_intdigest
+    hashes = np.fromiter((digest(s, SEED) for s in shingles(text)), np.uint32)
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+    for k in range(0, len(hashes), BLOCK):
+        np.minimum(least, (hashes[k : k + BLOCK] * FACTORS + TERMS).min(axis=1), out=least)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out
+
+
+def similar(a: str, b: str) -> bool:
+    x, y = shingles(a), shingles(b)
+    both = len(x & y)
+    return both * LEAST[1] >= (len(x) + len(y) - both) * LEAST[0]
+
+
+def keyed(texts: DataFrame) -> DataFrame:
+    """key, band, node, for each key of texts (node, text) that several have."""
+    bounded_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = np.arange(BANDS, dtype=np.int32)
+        for batch in batches:
+            n = batch.num_rows
+            found = np.concatenate([keys(t) for t in batch.column("text").to_pylist()]) if n else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.tile(bands, n)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], ["key", "band", "node"])
+
+    rows = materialize(texts.mapInArrow(run, "key long, band int, node long"))
+    often = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    return materialize(rows.join(often, "key").select("key", "band", "node", "least"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [similar(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    x = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    y = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def groups(texts: DataFrame) -> DataFrame:
+    """node, root (the least node that links reach), for each of texts (node, text) that is a near copy of another."""
+    shared = keyed(texts)
+    found, rooted = None, shared.withColumn("root", F.col("node"))
+    to_least = lambda rows: rows.join(rows.where("node = least").select("key", F.col("root").alias("to")), "key").where("root <> to").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    for pairs in (lambda rows: to_least(rows.where(F.col("band") < FIRST_BANDS)), to_least, across):
+        links = materialize(verified(materialize(pairs(rooted).distinct()), texts))
+        found = links if found is None else found.unionByName(links)
+        roots = materialize(components(found))
+        rooted = materialize(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    return roots
+
+
+def across(rows: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes that share a key but not a root."""
+    of = rows.select("key", "root").distinct()
+    mixed = of.join(of.groupBy("key").count().where("count > 1").select("key"), "key")
+    pairs = mixed.select("key", F.col("root").alias("p")).join(mixed.select("key", F.col("root").alias("q")), "key").where("p < q")
+    a = rows.select("key", F.col("root").alias("p"), F.col("node").alias("a"))
+    b = rows.select("key", F.col("root").alias("q"), F.col("node").alias("b"))
+    return pairs.join(a, ["key", "p"]).join(b, ["key", "q"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies: that of the least id (a null one only if all are null), then of the least text digest."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    least = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(others))))
+    classes = docs.groupBy(F.sha2(text, 256).alias("sha")).agg(least.alias("row"), F.first(text_col, ignorenulls=True).alias("whole"))
+    classes = materialize(classes.withColumn("node", F.xxhash64("sha")))
+    roots = groups(classes.select("node", F.coalesce("whole", F.lit("")).alias("text")))
+    named = roots.join(classes.select("node", "sha", "row"), "node")
+    first = named.groupBy("root").agg(F.min_by("node", F.struct("row.no_id", "row.id", "sha")).alias("node"))
+    gone = roots.join(first.select("node"), "node", "left_anti").select("node")
+    columns = {id_col: F.col("row.id"), text_col: F.col("whole")} | {c: F.col(f"row.c{k}") for k, c in enumerate(others)}
+    return classes.join(gone, "node", "left_anti").select(*(columns[c].alias(c) for c in docs.columns))

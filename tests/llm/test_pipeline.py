@@ -60,3 +60,25 @@ def test_stages(spark, tables):
 def test_run(spark, tables):
     assert corpus_pipeline.run(spark, tables).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def near_dedup(spark, rows):
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=repr)
+
+
+def test_near_copies_of_four_fifths_go(spark):
+    """Copies at a five-word similarity of just 0.8 and just less, and a chain of which only neighbours are near."""
+    rng = random.Random(5)
+    texts, expected, k = [], [], 0
+    for pair in range(40):
+        words = [f"w{pair}x{n}" for n in range(104)]
+        # 100 shingles; 4 other words at the end leave 96 of 104, 11 leave 89 of 111 and 12 leave 88 of 112.
+        other = {0: 4, 1: 11, 2: 12}[pair % 3]
+        texts += [(k, " ".join(words)), (k + 1, " ".join(words[:-other] + [f"v{pair}x{n}" for n in range(other)]))]
+        expected += [k] if pair % 3 < 2 else [k, k + 1]
+        k += 2
+    chain = [f"c{n}" for n in range(240)]
+    texts += [(1000 + n, " ".join(chain[8 * n : 8 * n + 104])) for n in range(12)]
+    rng.shuffle(texts)
+    assert sorted(i for i, _ in near_dedup(spark, texts)) == [*expected, 1000]
