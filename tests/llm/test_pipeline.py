@@ -82,3 +82,10 @@ def test_near_copies_of_four_fifths_go(spark):
     texts += [(1000 + n, " ".join(chain[8 * n : 8 * n + 104])) for n in range(12)]
     rng.shuffle(texts)
     assert sorted(i for i, _ in near_dedup(spark, texts)) == [*expected, 1000]
+
+
+def test_rows_that_share_an_id_go_only_as_copies(spark):
+    rng = random.Random(6)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (5, d), (7, a)]
+    assert near_dedup(spark, rows) == sorted([(7, a), (None, b), (5, c), (5, d)], key=repr)
