@@ -89,7 +89,10 @@ class MultiIndex:
         return np.take_along_axis(rank[0][:, i] * self.size + rank[1][:, j], first, 1)
 
     def measured(self, x: np.ndarray, limit: float, rng: np.random.Generator) -> int:
-        """Visits that find the target share of the sample's pairs, or of made ones at the limit if it has too few."""
+        """Visits that find the target share of the sample's pairs and, by itself, of pairs made at the limit.
+
+        Sampled pairs may all be closer than the limit, as in a large group of near copies; they can't stand for those at it.
+        """
         a, b = [], []
         for k in range(0, len(x), BLOCK):
             i, j = np.nonzero(x[k : k + BLOCK] @ x.T >= limit)
@@ -99,20 +102,21 @@ class MultiIndex:
             a.append(i[pick] + k)
             b.append(j[pick])
         a, b = np.concatenate(a), np.concatenate(b)
-        left, right = x[a], x[b]
-        if len(a) < PAIRS:
-            noise = rng.normal(size=x.shape)
-            noise -= (noise * x).sum(axis=1, keepdims=True) * x
-            made = limit * x + np.sqrt(1 - limit * limit) * noise / np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
-            left, right = np.concatenate([left, x]), np.concatenate([right, made])
+        noise = rng.normal(size=x.shape)
+        noise -= (noise * x).sum(axis=1, keepdims=True) * x
+        made = limit * x + np.sqrt(1 - limit * limit) * noise / np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
         cells = self.size * self.size
-        own = self.order(right, 1)[:, 0]
         visits = min(cells, 4)
-        while visits < cells:
-            found = np.concatenate([(self.order(left[k : k + BLOCK], visits) == own[k : k + BLOCK, None]).any(axis=1) for k in range(0, len(left), BLOCK)])
-            if found.mean() >= RECALL:
-                break
-            visits = min(cells, visits * 2)
+        # Rows of a large group would stand for all others among the made pairs too: the rows that have no pair in the sample count by themselves.
+        lone = np.setdiff1d(np.arange(len(x)), a)
+        kinds = [(x[a], x[b]), (x, made), (x[lone], made[lone])]
+        for left, right in ((p, q) for p, q in kinds if len(p)):
+            own = self.order(right, 1)[:, 0]
+            while visits < cells:
+                found = np.concatenate([(self.order(left[k : k + BLOCK], visits) == own[k : k + BLOCK, None]).any(axis=1) for k in range(0, len(left), BLOCK)])
+                if found.mean() >= RECALL:
+                    break
+                visits = min(cells, visits * 2)
         return visits
 
 

@@ -159,3 +159,20 @@ def test_visits_are_nearest_first():
     visits = min(6, index.size**2)
     order = index.order(x, visits)
     assert np.allclose(np.take_along_axis(cost, order, 1), np.sort(cost, axis=1)[:, :visits])
+
+
+def test_visits_hold_for_pairs_at_the_limit():
+    """A third of the rows are near copies of one vector; the visits have to find links of small groups at the limit too."""
+    rng = np.random.default_rng(4)
+    n, dim, limit = 9000, 64, 0.9
+    hot = embedding_dedup.units(rng.normal(size=(1, dim)) + 0.001 * rng.normal(size=(n // 3, dim)))
+    x = embedding_dedup.units(rng.normal(size=(n // 3, dim)))
+    noise = rng.normal(size=x.shape)
+    noise = embedding_dedup.units(noise - (noise * x).sum(axis=1, keepdims=True) * x)
+    y = 0.903 * x + np.sqrt(1 - 0.903**2) * noise
+    rows = np.concatenate([hot, x, y])
+    sample = rows[rng.permutation(n)[:2000]]
+    index = embedding_dedup.MultiIndex(sample, n, limit)
+    one = (index.order(x, index.visits) == index.order(y, 1)).any(axis=1)
+    two = (index.order(y, index.visits) == index.order(x, 1)).any(axis=1)
+    assert (one | two).mean() >= 0.99
