@@ -311,10 +311,9 @@ def revalidate(spark, sf_dir):
 
 @query()
 def similar(spark, sf_dir):
-    """Each document's first line against itself with a changed end: an order-dependent ratio without SQL counterpart."""
-    line = F.substring(F.split("text", "\n")[0], 1, 160)
-    rows = read(spark, sf_dir, "documents").select("doc_id", line.alias("training"), F.concat(F.substring(line, 1, 120), F.lit(" other words")).alias("evaluation"))
-    return rows.select("doc_id", F.round(similarity(F.col("training"), F.col("evaluation")), 6).alias("ratio"), too_similar(F.col("training"), F.col("evaluation")).alias("too_similar"))
+    """Each user's turn, whole, against itself with other words at the end: an order-dependent ratio without SQL counterpart."""
+    rows = read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("training"), F.concat("text", F.lit(" other words")).alias("evaluation"))
+    return rows.select("conv_id", "turn", F.round(similarity(F.col("training"), F.col("evaluation")), 6).alias("ratio"), too_similar(F.col("training"), F.col("evaluation")).alias("too_similar"))
 
 
 @query("SELECT page_id, 'SOURCE TITLE:' || chr(10) || url || chr(10) || chr(10) || 'TRAINING QUESTION:' || chr(10) || 'q' || chr(10) || chr(10) || 'TRAINING ANSWER:' || chr(10) || 'a' || chr(10) || chr(10) || 'GROUNDING:' AS asked FROM pages WHERE false UNION ALL SELECT page_id, 'QUESTION:' || chr(10) || url || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || url FROM pages")

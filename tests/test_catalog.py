@@ -38,3 +38,16 @@ def test_query(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_similar_compares_whole_questions(spark, root):
+    """Texts of more than 200 characters, in which difflib leaves out frequent characters, are compared to their ends."""
+    from difflib import SequenceMatcher
+
+    texts = ["short?", "a question of several words " * 12, "".join(chr(97 + k % 26) for k in range(900)) + " tail\nsecond line"]
+    rows = [(1, 2 * k, "user", t) for k, t in enumerate(texts)] + [(1, 1, "assistant", "reply")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{root}/conversations.parquet")
+    spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string").write.parquet(f"{root}/documents.parquet")
+    found = {r.turn: r.ratio for r in catalog.similar(spark, root).collect()}
+    normal = [" ".join(t.lower().split()) for t in texts]
+    assert found == {2 * k: round(SequenceMatcher(None, t, f"{t} other words").ratio(), 6) for k, t in enumerate(normal)}
