@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import near_copies, packing, quality_classifier, quality_rules, suffix_dedup
+from tessera.llm import packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup
 from tessera.llm.common import materialize, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,7 +31,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest id. Rows that share an id, or have none, go only if they are near copies."""
-    return near_copies.one_of_each(docs.select(*COLUMNS))
+    return simhash_dedup.one_of_each(docs.select(*COLUMNS), similarity=(4, 5), shingle=5)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1, cache=100_000))
 
 
-STAGES = [("quality classifier", classify), ("quality rules", rules), ("near dedup", near_dedup), ("suffix dedup", repeats), ("packing", pack)]
+STAGES = [("quality classifier", classify), ("quality rules", rules), ("SimHash near-dedup", near_dedup), ("suffix dedup", repeats), ("packing", pack)]
 
 #: The learned scores and the tokenizer have no SQL counterpart; tests hold the stages against brute-force versions.
 ORACLE_SQL = None

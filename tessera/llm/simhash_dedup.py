@@ -18,22 +18,26 @@ Defined cases: a null or empty text has the fingerprint zero, linked like any
 other; equal rows share fingerprint and component; a null id is never the
 least of its component unless all ids in it are null; other columns aren't
 read; an empty table gives an empty one.
+
+one_of_each drops near copies by the similarity of their shingles instead. It
+takes prints and keys as wide as that similarity needs (simhash_wide.py),
+prunes by the same ring, and verifies on the shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOB_DDL, blob_rows, blob_table, bounded_batches, buckets, hash_bucket, joined, materialize, texts_of
 from .components import components
 from .rolling import mix, runs
+from .simhash_wide import groups, shingle_hashes
 from .suffix_dedup import grouped
 
 #: Segments of the ring: (first bit, bits), 64 bits in all.
@@ -47,14 +51,9 @@ FLIPS = np.array([0, *(1 << a for a in range(64)), *((1 << a) | (1 << b) for a,
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Bit k is set if it is set in more than half of the shingles' hashes; no words give zero."""
-    words = text.encode().lower().split()
-    if not words:
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
         return 0
-    joint = b" ".join(words)
-    starts = [0, *accumulate(len(w) + 1 for w in words)]
-    last = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joint[a : b - 1], seed) for a, b in zip(starts, starts[last:])), np.uint64, len(words) - last + 1)
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), BLOCK):
         counts += np.unpackbits(hashes[k : k + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -206,3 +205,24 @@ def simhash_dedup(df: DataFrame, limit: int = LIMIT, shingle: int = SHINGLE, id_
 
 def digests(deduped: DataFrame) -> DataFrame:
     return deduped.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each group of texts whose shingles have at least the similarity (a fraction).
+
+    Kept is the row of the least id (a null one only if all are null), then of
+    the least text digest. Rows that share an id, or have none, go only if
+    they are near copies. Texts without words (null ones too) are copies of
+    each other; words are compared in lower case (ASCII).
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    others = [c for c in df.columns if c not in (id_col, text_col)]
+    least = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(others))))
+    classes = df.groupBy(F.sha2(text, 256).alias("sha")).agg(least.alias("row"), F.first(text_col, ignorenulls=True).alias("whole"))
+    classes = materialize(classes.withColumn("node", F.xxhash64("sha")))
+    roots = groups(classes.select("node", F.coalesce("whole", F.lit("")).alias("text")), similarity, shingle)
+    named = roots.join(classes.select("node", "sha", "row"), "node")
+    first = named.groupBy("root").agg(F.min_by("node", F.struct("row.no_id", "row.id", "sha")).alias("node"))
+    gone = roots.join(first.select("node"), "node", "left_anti").select("node")
+    columns = {id_col: F.col("row.id"), text_col: F.col("whole")} | {c: F.col(f"row.c{k}") for k, c in enumerate(others)}
+    return classes.join(gone, "node", "left_anti").select(*(columns[c].alias(c) for c in df.columns))
