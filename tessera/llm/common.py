@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch, and bytes where the Spark version has that bound.
-BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 #: Buckets for each shuffle partition, so that hashing deals them evenly.
 BUCKETS_PER_PARTITION = 2
 
@@ -36,10 +36,12 @@ def buckets(spark: SparkSession, per_partition: int = BUCKETS_PER_PARTITION) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named, as in tests."""
+    """The cluster's shared folder; a local one only where none is named and the session is local, as in tests."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         base = sc._conf.get("tessera.local.checkpoint", "") or tempfile.mkdtemp(prefix="tessera-")
         sc._conf.set("tessera.local.checkpoint", base)
     return base.rstrip("/")

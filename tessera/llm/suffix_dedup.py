@@ -295,14 +295,20 @@ def removal(docs: pa.Table, rows: pa.Table, width: int, keep: int, schema: pa.Sc
         return schema.empty_table()
     bucket = Bucket(docs)
     gone = covered_runs(bucket, unpack_all(rows["data"].to_pylist(), MARK), width)
-    spans, kept = [], []
+    others = docs.select(["doc", *(f"keep_{k}" for k in range(keep))]).take(pa.array(bucket.order)).combine_chunks()
+    # Results leave in slices, so that neither side holds a bucket's texts twice as one block.
+    parts, spans, kept, size, begun = [], [], [], 0, 0
     for k in range(docs.num_rows):
         text, cut = bucket.text(k), gone.get(k, [])
         spans.append([{"start": a, "end": b} for a, b in cut])
         edges = [0, *(x for ab in cut for x in ab), len(text)]
         kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-    docs = docs.take(pa.array(bucket.order))
-    return pa.table([docs["doc"], pa.array(spans, schema.field(1).type), pa.array(kept, pa.binary()), *(docs[f"keep_{k}"] for k in range(keep))], schema=schema)
+        size += len(kept[-1])
+        if size >= TEXTS or k == docs.num_rows - 1:
+            own = others.slice(begun, len(kept))
+            parts.append(pa.table([own["doc"], pa.array(spans, schema.field(1).type), pa.array(kept, pa.binary()), *own.columns[1:]], schema=schema))
+            spans, kept, size, begun = [], [], 0, k + 1
+    return pa.concat_tables(parts)
 
 
 def suffix_dedup(df: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -315,8 +321,8 @@ def suffix_dedup(df: DataFrame, width: int = 100, id_col: str = "doc_id", text_c
         raise ValueError(f"width must lie between {max(GRAM, HALF) + HALF} and 255")
     spark = df.sparkSession
     bounded_batches(spark)
-    # Documents are dealt into as many buckets as there are partitions, keys into more: a row is sent from each to each.
-    n_docs, n_keys = buckets(spark, 1), buckets(spark, 2)
+    # A row is sent from each bucket of documents to each of keys, so their numbers are no larger than memory asks for.
+    n_docs, n_keys = buckets(spark, 3), buckets(spark, 2)
     docs = dealt(df, n_docs, id_col, text_col, keep)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_bucket = lambda rows: rows.repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket")
