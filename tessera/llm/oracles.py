@@ -7,14 +7,10 @@ from .quality_rules import CLASS_LIMIT, CLASS_SHARES, CLASSES, COMMON_WORDS, LEA
 SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
-def _least(columns: list[list[str]], references: list[tuple[float, ...]]) -> str:
-    """The smallest Jensen-Shannon distance of shares to references; the last share is the rest."""
-    distances = []
-    for shares, reference in zip(columns, references):
-        full = [*reference, round(1 - sum(reference), 6)]
-        terms = [f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + {q} * log2(2 * {q} / ({p} + {q}))" for p, q in zip(shares, full)]
-        distances.append(f"sqrt(greatest(0, ({' + '.join(terms)}) / 2))")
-    return f"least({', '.join(distances)})"
+def _distance(shares: list[str], reference: tuple[float, ...]) -> str:
+    """The Jensen-Shannon distance of shares to a reference; the last share is the rest."""
+    terms = [f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + {q} * log2(2 * {q} / ({p} + {q}))" for p, q in zip(shares, [*reference, round(1 - sum(reference), 6)])]
+    return f"sqrt(greatest(0, ({' + '.join(terms)}) / 2))"
 
 
 def quality_rules() -> str:
@@ -22,10 +18,12 @@ def quality_rules() -> str:
     bins = ", ".join(f"len(list_filter(words, lambda x: x IN ({', '.join(repr(w) for w in words.split()[a:b])}))) / CAST(len(words) AS DOUBLE) AS {lang}_{k}" for lang, words in COMMON_WORDS.items() for k, (a, b, _) in enumerate(RANKS))
     classes = [f"c_{c}" for c in CLASSES]
     classes.append(f"(1 - {' - '.join(classes)})")
-    words = []
-    for lang in COMMON_WORDS:
+    both = []
+    for lang, shares in CLASS_SHARES.items():
         own = [f"{lang}_{k}" for k in range(len(RANKS))]
-        words.append([*own, f"(1 - {' - '.join(own)})"])
+        words = _distance([*own, f"(1 - {' - '.join(own)})"], tuple(s for *_, s in RANKS))
+        both.append(f"SELECT doc_id, {len(both)} AS lang, {_distance(classes, shares)} AS class_distance, {words} AS word_distance FROM long")
+    nearest = f"greatest(class_distance / {CLASS_LIMIT}, word_distance / {WORD_LIMIT}), lang"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {SPLIT} AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 win AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d)),
@@ -34,7 +32,8 @@ cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 base AS (SELECT d.doc_id, t, words, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN cov USING (doc_id)),
 long AS (SELECT doc_id, {counts}, {bins} FROM base WHERE n_words >= {LEAST_WORDS} AND length(t) >= {LEAST_CHARS}),
-dist AS (SELECT doc_id, {_least([classes] * len(CLASS_SHARES), list(CLASS_SHARES.values()))} AS class_distance, {_least(words, [tuple(s for *_, s in RANKS)] * len(COMMON_WORDS))} AS word_distance FROM long)
+every AS ({' UNION ALL '.join(both)}),
+dist AS (SELECT doc_id, class_distance, word_distance FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {nearest}) = 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance,
   NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND coalesce(class_distance <= {CLASS_LIMIT} AND word_distance <= {WORD_LIMIT}, false) AS kept
 FROM base LEFT JOIN dist USING (doc_id)"""

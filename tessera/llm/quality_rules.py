@@ -3,7 +3,9 @@
 A document's histogram of character classes and its histogram of common words
 (three ranks of a language's most frequent words, and all others) are held
 against references of each language by Jensen-Shannon distance (base 2, so
-from 0 to 1). It is kept if the nearest language is within both limits. Below
+from 0 to 1). The nearest language is the one whose larger distance, as a share
+of its limit, is least (the first, if equal); the document is kept if that one
+language is within both limits. Below
 the least lengths there is no verdict to give, and the document is not kept.
 
 Everything is computed in the row: no shuffle, no Python. Three-word windows
@@ -97,12 +99,17 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.selectExpr("*", f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed", f"n_words < {LEAST_WORDS} OR n_chars < {LEAST_CHARS} AS too_short")
     classes = [f"(n_{c} / n_chars)" for c in CLASSES]
     classes.append(f"((n_chars - {' - '.join(f'n_{c}' for c in CLASSES)}) / n_chars)")
-    by_class = ", ".join(distance(classes, with_rest(shares)) for shares in CLASS_SHARES.values())
+    by_class = [f"{distance(classes, with_rest(shares))} AS class_{lang}" for lang, shares in CLASS_SHARES.items()]
     by_word = []
     for lang in COMMON_WORDS:
         ranks = [f"{lang}_{k}" for k in range(len(RANKS))]
-        by_word.append(distance([f"({c} / n_words)" for c in (*ranks, f"(n_words - {' - '.join(ranks)})")], with_rest(tuple(share for *_, share in RANKS))))
-    rows = rows.selectExpr("doc_id", *own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", f"CASE WHEN too_short THEN NULL ELSE least({by_class}) END AS class_distance", f"CASE WHEN too_short THEN NULL ELSE least({', '.join(by_word)}) END AS word_distance")
+        by_word.append(f"""{distance([f"({c} / n_words)" for c in (*ranks, f"(n_words - {' - '.join(ranks)})")], with_rest(tuple(share for *_, share in RANKS)))} AS word_{lang}""")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    rows = rows.selectExpr("doc_id", *own, *counts, "too_short", *by_class, *by_word)
+    of = {lang: f"greatest(class_{lang} / {CLASS_LIMIT}D, word_{lang} / {WORD_LIMIT}D)" for lang in COMMON_WORDS}
+    rows = rows.selectExpr("*", f"least({', '.join(of.values())}) AS nearest")
+    pick = lambda kind: "CASE WHEN too_short THEN NULL " + " ".join(f"WHEN {x} <= nearest THEN {kind}_{lang}" for lang, x in of.items()) + " END"
+    rows = rows.selectExpr("doc_id", *own, *counts, f"{pick('class')} AS class_distance", f"{pick('word')} AS word_distance")
     # The partition's number (always 0 or more) keeps a filter on the verdict above this projection: pushed below
     # it, the filter would hold every expression written out, and lambdas would run their arrays anew for each element.
     rows = rows.selectExpr("*", f"NOT base_failed AND coalesce(class_distance <= {CLASS_LIMIT} AND word_distance <= {WORD_LIMIT}, false) AND spark_partition_id() >= 0 AS kept")
