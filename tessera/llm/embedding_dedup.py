@@ -120,8 +120,8 @@ class MultiIndex:
         return visits
 
 
-def record(dim: int, visits: int) -> np.dtype:
-    return np.dtype([("node", "<i8"), ("n", "<i8"), ("own", "<i4"), ("cell", "<i4"), ("part", "<i4"), ("member", "<i4"), ("cells", "<i4", (visits,)), ("vector", "<f4", (dim,))])
+def record(dim: int, visits: int, number: str) -> np.dtype:
+    return np.dtype([("node", "<i8"), ("n", "<i8"), ("own", "<i4"), ("cell", "<i4"), ("part", "<i4"), ("member", "<i4"), ("cells", "<i4", (visits,)), ("vector", number, (dim,))])
 
 
 def vectors_of(batch: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -148,10 +148,10 @@ def verified(records: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np
             yield nodes[n > 0], np.zeros((n > 0).sum(), np.int64), n[n > 0]
         low_probe, low_member = probes["node"].copy(), members["node"].copy()
         while True:
-            before = low_probe.sum(dtype=np.float64) + low_member.sum(dtype=np.float64)
+            before = low_probe.copy(), low_member.copy()
             np.minimum.at(low_probe, i, low_member[j])
             np.minimum.at(low_member, j, low_probe[i])
-            if low_probe.sum(dtype=np.float64) + low_member.sum(dtype=np.float64) == before:
+            if np.array_equal(low_probe, before[0]) and np.array_equal(low_member, before[1]):
                 break
         for nodes, low in ((probes["node"], low_probe), (members["node"], low_member)):
             at = nodes != low
@@ -162,7 +162,8 @@ def embedding_dedup(df: DataFrame, limit: float = 0.9, id_col: str = "vec_id", v
     """vec_id, n_links, component_id, kept, for each row."""
     spark = df.sparkSession
     bounded_batches(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    number = "float" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{number}>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0))
     length = usable.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -176,11 +177,11 @@ def embedding_dedup(df: DataFrame, limit: float = 0.9, id_col: str = "vec_id", v
     if classes.groupBy("first").count().where("count > 1").limit(1).isEmpty():  # ids are their own node, unless rows share one
         classes = classes.withColumn("node", F.col("first"))
     n = classes.count()
-    sample = np.array([r.embedding for r in classes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("embedding").collect()], np.float32)
+    sample = np.array([r.embedding for r in classes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("embedding").collect()], np.float64)
     index = spark.sparkContext.broadcast(MultiIndex(sample, n, limit))
     n_buckets, parts = buckets(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     visits = index.value.visits
-    kind = record(dim, visits)
+    kind = record(dim, visits, "<f4" if number == "float" else "<f8")
 
     def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
