@@ -43,6 +43,8 @@ from .rolling import byte_spans, mix, pack_columns, packed_rows, runs, unpack_al
 GRAM, HALF = 32, 32
 #: Bytes whose suffixes are taken at once, and bytes of a chunk that settles its own repeats.
 STRETCH, CHUNK = 1 << 19, 16 << 20
+#: Bits that number the bytes of a stretch and the piece that ends it.
+PLACE_BITS = 21
 #: Bytes of documents, and windows, that the later digits take at once.
 TEXTS, WINDOWS = 2 << 20, 1 << 19
 #: Kinds of rows: first-digit records, covered runs, windows for the second digit, second-digit records.
@@ -60,8 +62,10 @@ def anchors(pieces: list[tuple[int, int, int, bytes]], width: int) -> np.ndarray
     ends = np.cumsum(sizes)
     spans = byte_spans(data)
     gram = spans.all(GRAM)
-    bits = np.uint64(max(1, int(len(data)).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    # The same bits at any length, or equal windows in stretches of different length could choose different anchors.
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    if len(data) > low:
+        raise ValueError(f"pieces may have {low} bytes together at most")
     least = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
     reach, span = width - GRAM + 1, 1
     while 2 * span <= reach:
