@@ -5,7 +5,8 @@
    into count-min rows and sends back to each bucket the cells whose estimate
    is two or more. Counts are never underestimated, so no repeat is lost.
 2. Windows in those cells, and only those, are grouped exactly by a 96-bit
-   digest; all but the earliest of a group are covered.
+   digest, made of two independent halves of the words' 128-bit hashes; all
+   but the earliest of a group are covered.
 
 Buckets and segments follow the number of shuffle partitions, so a sketch has
 the same load at any size of input. Documents are dealt once by id and that
@@ -24,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOB_DDL, blob_table, bounded_batches, buckets, hash_bucket
 from .dedup_docs import MARK, NULL_ID, Bucket, by_kind, covered_runs, dealt, mark_rows, merged
-from .rolling import Spans, byte_spans, mix, pack_columns, packed_rows, runs, unpack_all, unpack_columns
+from .rolling import Spans, mix, pack_columns, packed_rows, runs, unpack_all, unpack_columns
 from .suffix_dedup import grouped, shared
 
 #: Bits of a window's cell digest, and rows and bits of the merged counters of a segment.
@@ -85,13 +87,13 @@ class Windows:
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         space = SPACES[data]
         begin = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-        end = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
         owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, side="right")
-        words = byte_spans(data).of(begin, end)
+        # 128 bits a word, so the two halves of a window's digest have nothing in common.
+        words = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, data.tobytes().split())), "<u8").reshape(-1, 2)
         n = max(0, len(words) - width + 1)
         good = np.flatnonzero(owner[:n] == owner[width - 1 :][:n])
         place = np.searchsorted(owner, np.arange(len(texts)))
-        high, low = (Spans(words, w).all(width)[good] for w in (0, 1))
+        high, low = (Spans(np.ascontiguousarray(words[:, w]), w).all(width)[good] for w in (0, 1))
         own = owner[good]
         return own + first, good - place[own] if len(own) else good, high, (low >> np.uint64(32)).astype(np.uint32)
 
