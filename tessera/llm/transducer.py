@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: States that are kept (past this they live for one call), and neighbour checks (past this they are made anew).
+#: States that are kept (past this only the last two live on), and neighbour checks (past this they are made anew).
 MAX_STATES, MAX_PAIRS = 100_000, 500_000
 
 
@@ -102,10 +102,13 @@ class MergeTransducer:
         return self.kept(number, symbol, (*going, (0, whole[-1], whole[agreed:])), whole[:agreed])
 
     def kept(self, number: int, symbol: str, state: tuple, emitted: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
-        if len(self.states) >= MAX_STATES and state not in self.numbers:
-            self.states.append(state)
-            self.steps.append({})
-            return len(self.states) - 1, emitted
+        if len(self.numbers) >= MAX_STATES and state not in self.numbers:
+            if len(self.states) == len(self.numbers):
+                self.states += [(), ()]
+                self.steps += [{}, {}]
+            slot = len(self.numbers) + (number == len(self.numbers))
+            self.states[slot], self.steps[slot] = state, {}
+            return slot, emitted
         out = self.steps[number][symbol] = self.number(state), emitted
         return out
 
@@ -113,8 +116,6 @@ class MergeTransducer:
         """Ids of the symbols; final stands in for the last symbol (a word's end), if given."""
         if not symbols:
             return []
-        if len(self.states) > MAX_STATES:
-            del self.states[MAX_STATES:], self.steps[MAX_STATES:]
         out: list[int] = []
         at, steps = 0, self.steps
         for c in symbols[:-1]:

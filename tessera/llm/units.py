@@ -10,6 +10,10 @@ from __future__ import annotations
 
 #: Entries of a cache's generation; two generations are held, and what is asked for stays.
 MAX_ENTRIES = 400_000
+#: Characters of an entry that is kept, and of a generation's entries for each that it may have.
+LONGEST, EACH = 64, 16
+
+
 class Irregular(Exception):
     """White space that isn't single: the text has to be taken as a whole."""
 
@@ -23,15 +27,18 @@ class Generations(dict):
 
     def __init__(self, make, size: int | None = None):
         super().__init__()
-        self.make, self.older, self.size = make, {}, size or MAX_ENTRIES
+        self.make, self.older, self.size, self.held = make, {}, size or MAX_ENTRIES, 0
 
     def __missing__(self, key: str):
         out = self.older.get(key)
         if out is None:
             out = self.make(key)
-        if len(self) >= self.size:
-            self.older = dict(self)
+        if len(key) > LONGEST:
+            return out
+        if len(self) >= self.size or self.held > EACH * self.size:
+            self.older, self.held = dict(self), 0
             self.clear()
+        self.held += len(key)
         self[key] = out
         return out
 
