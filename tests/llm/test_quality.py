@@ -146,3 +146,43 @@ def test_pages(spark):
     found = html_extract.extract_pages(rows).collect()
     assert len(found) == 5 and all(r.n_chars == len(r.text) for r in found)
     assert html_extract.extract_pages(rows.where("false")).count() == 0
+
+
+def test_content_is_kept_whatever_it_is_called():
+    page = "<header><h1>Site</h1><p>A slogan of many words that goes on and on for quite a while</p></header><article><h1>Harbour news</h1><section><p>Boats came in today.</p></section><img src=x><h2 id='search'>Search methods</h2><div class='article-header'>By the harbour office</div><section id='related-work'><p>Older work.</p></section><p>See <math>x y</math></p><p class=ad>Buy now.</p><ul><li><a>One link</a></li></ul></article><footer>" + "word " * 40 + "</footer>"
+    assert html_extract.extract(page) == "Harbour news\nBoats came in today.\nSearch methods\nBy the harbour office\nOlder work.\nSee x y\nOne link"
+    halves = "<article><p>First half of it.</p><div class='ad'>" + "buy now " * 50 + "</div><p>Second half.</p><section class=comments><article><p>A reader says so.</p></article></section></article>"
+    assert html_extract.extract(halves) == "First half of it.\nSecond half."
+    plain = "<div id=cookie-notice>" + "We use cookies " * 10 + "</div><div><p>" + "real words here " * 20 + "</p><ul><li>One item.</li><li><a>Link item</a></li></ul><p>End.</p></div><div class='comments'><p>Nice post, I liked it.</p></div>"
+    assert html_extract.extract(plain) == "\n".join(["real words here " * 19 + "real words here", "One item.", "Link item", "End."])
+
+
+def test_the_scan_decides_where_nothing_is_named():
+    """Menus and notes in bare elements around content in bare elements: only the scan tells them apart."""
+    rng = random.Random(8)
+    for _ in range(30):
+        words = lambda n: " ".join(rng.choice(CLEAN) for _ in range(n))
+        links = "<div><ul>" + "".join(f"<li><a>{words(1)}</a></li>" for _ in range(rng.randint(3, 9))) + "</ul></div>"
+        blocks = [words(rng.randint(12, 60)) for _ in range(rng.randint(2, 6))]
+        page = f"<html><body>{links}<div>{''.join(f'<p>{b}</p>' for b in blocks)}</div>{links}</body></html>"
+        assert html_extract.extract(page) == "\n".join(blocks)
+
+
+def test_region_against_all_regions():
+    """Whole pages against the best of all contiguous regions, found by trying each."""
+    rng = random.Random(9)
+    parts = ["<p>some words here</p>", "<div><a>menu</a></div>", "<nav>one two</nav>", "<div class=ad>buy it</div>", "<h2>title</h2>", "<footer>end of page</footer>", "<article>", "</article>", "<b>bold</b> words ", "</div>"]
+    for _ in range(60):
+        items = html_extract.tokens("".join(rng.choice(parts) for _ in range(rng.randint(1, 9))))
+        scores, _ = html_extract.scored(items)
+        a, b = html_extract.best_region(scores)
+        assert sum(scores[a:b]) == pytest.approx(max([0.0] + [sum(scores[i:j]) for i in range(len(scores)) for j in range(i, len(scores) + 1)]))
+
+
+@pytest.mark.parametrize("part", ["<a ", "<nav><main>", "<script ", "<!--x", '<a "', '<div class="x', "<div><p>", "</div>", "<a '\"", "<div class=comments><article>"])
+def test_malformed_pages_take_time_in_proportion(part):
+    import time
+
+    began = time.perf_counter()
+    html_extract.extract(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 20
