@@ -1,21 +1,31 @@
 """Quality scores by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text is counted into two-letter patterns (letters by kind, marks by
-themselves) and into repeats of words at short distances. Counts are weighted
-and projected on the leading singular vectors of a bounded sample of labelled
-rows. The sample's vectors are broadcast; every document gets its exact cosine
+A text is counted into terms: its words and the three-byte strings in it
+(both hashed), its patterns of two letters (letters by kind, marks by
+themselves), and its repeats of words at short distances. Terms are weighted
+by their share of the text and by how rare they are among the labelled rows
+(TF-IDF), and projected on the leading singular vectors of a bounded sample of
+them. The sample's vectors are broadcast; every document gets its exact cosine
 with each of them, block by block, and its nearest neighbours vote for their
 label in proportion to their similarity.
 
-Only the counts and labels of the sample come to the driver: at most
-2 * SAMPLE rows, the first of each label by a hash of doc_id. Labels, lang,
-source and doc_id are no inputs of a score.
+The cosine is that of the whole weighted text, not of its projection alone: a
+text whose terms the sample doesn't know is like none of it. Where all votes
+together weigh less than FLOOR of what they do for nearly all of the sample
+(each row without its own vote), the rest counts for label 0; of a text of
+fewer than ENOUGH words less is asked, in proportion.
 
-Defined cases: a null or empty text has no counts and no neighbours and gets
+Only the terms and labels of the sample come to the driver: at most
+2 * SAMPLE rows, the first of each label by a hash of doc_id, each with
+N_FEATURES numbers at most. Labels, lang, source and doc_id are no inputs of a
+score.
+
+Defined cases: a null or empty text has no terms and no neighbours and gets
 the sample's share of label 1; without usable labels every score is 0.5; rows
 of `labels` that disagree on a document or hold null or other values than 0
-and 1 are left out; a null doc_id is not held out and has no label; equal rows
-get equal scores; extra columns aren't read; empty tables give empty results.
+and 1 are left out; a null doc_id is not held out and has no label; whole
+texts count, however long; equal rows get equal scores; extra columns aren't
+read; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,7 +44,12 @@ from .rolling import byte_spans
 #: Labelled rows of each label that the model is fitted on, at most.
 SAMPLE = 1000
 #: Dimensions of the latent space, neighbours that vote, and documents whose cosines are taken at once.
-RANK, NEIGHBOURS, BLOCK = 24, 15, 256
+RANK, NEIGHBOURS, BLOCK = 64, 15, 128
+#: Hashed words and hashed three-byte strings, and the parts of the weighted text that patterns, strings and words have.
+STRINGS, WORDS = 1 << 12, 1 << 12
+PARTS = (0.5, 0.25, 0.25)
+#: Power of a similarity that votes, the share of the sample's usual weight below which a text is like none of it, and the words from which that holds in full.
+POWER, USUAL, FLOOR, ENOUGH = 4, 0.02, 0.5, 40
 #: Kinds of bytes: small letters, capitals, digits, spaces, line feeds, controls, bytes beyond ASCII; each mark is its own.
 SMALL, CAPITAL, DIGIT, SPACE, LINE, CONTROL, WIDE = range(7)
 #: Distances between equal words that are counted, and the weight of that count.
@@ -53,12 +68,13 @@ def byte_kinds() -> np.ndarray:
 
 KINDS = byte_kinds()
 N_KINDS = int(KINDS.max()) + 1
-N_FEATURES = N_KINDS * N_KINDS + len(LAGS)
+N_PATTERNS = N_KINDS * N_KINDS + len(LAGS)
+N_FEATURES = N_PATTERNS + STRINGS + WORDS
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def features(text: str) -> np.ndarray:
-    """Counts of the text's patterns and of its repeated words."""
+    """Counts of the text's patterns, repeated words, strings and words."""
     data = np.frombuffer(text.encode(), np.uint8)
     out = np.zeros(N_FEATURES, np.float32)
     if not len(data):
@@ -71,37 +87,70 @@ def features(text: str) -> np.ndarray:
     words = byte_spans(data).of(begin, end)
     for k, lag in enumerate(LAGS):
         out[N_KINDS * N_KINDS + k] = LAG_WEIGHT * np.count_nonzero(words[lag:] == words[:-lag])
+    wide = data.astype(np.uint32)
+    strings = ((wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - STRINGS.bit_length() + 1)
+    out[N_PATTERNS : N_PATTERNS + STRINGS] = np.bincount(strings, minlength=STRINGS)
+    out[N_PATTERNS + STRINGS :] = np.bincount((words >> np.uint64(33)).astype(np.int64) % WORDS, minlength=WORDS)
+    return out
+
+
+def shares(counts: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Square roots of each row's shares in each part, so that frequent terms don't drown rare ones. `out` may be the counts."""
+    out = np.empty(counts.shape, np.float32) if out is None else out
+    cuts = (0, N_PATTERNS, N_PATTERNS + STRINGS, N_FEATURES)
+    for part, a, b in zip(PARTS, cuts, cuts[1:]):
+        own = counts[:, a:b]
+        np.sqrt(own * (part / np.maximum(own.sum(axis=1, keepdims=True), 1)), out=out[:, a:b])
     return out
 
 
-def shares(counts: np.ndarray) -> np.ndarray:
-    """Square roots of each row's shares, so that frequent patterns don't drown rare ones."""
-    total = counts.sum(axis=1, keepdims=True)
-    return np.sqrt(counts / np.maximum(total, 1))
+def packed(counts: np.ndarray) -> bytes:
+    """The counts that aren't zero, after their numbers."""
+    some = np.flatnonzero(counts)
+    return some.astype("<u4").tobytes() + counts[some].astype("<f4").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out, half = np.zeros(N_FEATURES, np.float32), len(data) // 2
+    out[np.frombuffer(data[:half], "<u4")] = np.frombuffer(data[half:], "<f4")
+    return out
 
 
-def unit(rows: np.ndarray) -> np.ndarray:
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+def length(rows: np.ndarray) -> np.ndarray:
+    return np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
 class Model:
     """Latent space and labelled vectors of a bounded sample."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray):
-        rows = shares(counts)
-        seen = (counts > 0).mean(axis=0) if len(rows) else np.zeros(N_FEATURES)
-        self.weights = np.log((1 + len(rows)) / (1 + len(rows) * seen)).astype(np.float32) + np.float32(1)
+        """The counts (single precision) are used up: their memory holds the weighted rows."""
+        seen = (counts > 0).mean(axis=0) if len(counts) else np.zeros(N_FEATURES)
+        self.weights = np.log((1 + len(counts)) / (1 + len(counts) * seen)).astype(np.float32) + np.float32(1)
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.labels = labels.astype(np.float64)
         if len(set(labels.tolist())) < 2:
             self.axes, self.vectors = np.zeros((N_FEATURES, 1), np.float32), np.zeros((0, 1))
             return
-        weighted = (rows * self.weights).astype(np.float64)
-        values, left = np.linalg.eigh(weighted @ weighted.T)
+        weighted = shares(counts, counts)
+        weighted *= self.weights
+        weighted /= length(weighted)
+        values, left = np.linalg.eigh((weighted @ weighted.T).astype(np.float64))
         top = np.argsort(-values)[:RANK]
         top = top[values[top] > 1e-9]
-        self.axes = (weighted.T @ left[:, top] / np.sqrt(values[top])).astype(np.float32)
-        self.vectors = unit(weighted @ self.axes)
+        self.axes = weighted.T @ (left[:, top] / np.sqrt(values[top])).astype(np.float32)
+        self.vectors = (weighted @ self.axes).astype(np.float64)
+        own = self.vectors.copy()
+        self.vectors /= length(self.vectors)
+        cosine = own @ self.vectors.T
+        np.fill_diagonal(cosine, 0)
+        self.floor = FLOOR * float(np.quantile(self.votes(cosine)[0].sum(axis=1), USUAL))
+
+    def votes(self, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of each row's nearest neighbours, and their labels."""
+        n = min(NEIGHBOURS, cosine.shape[1])
+        best = np.argpartition(-cosine, n - 1, axis=1)[:, :n]
+        return np.maximum(np.take_along_axis(cosine, best, 1), 0) ** POWER + 1e-12, self.labels[best]
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         out = np.full(len(counts), self.prior)
@@ -110,11 +159,10 @@ class Model:
             return out
         for a in range(0, len(some), BLOCK):
             k = some[a : a + BLOCK]
-            cosine = unit((shares(counts[k]) * self.weights) @ self.axes) @ self.vectors.T
-            n = min(NEIGHBOURS, cosine.shape[1])
-            best = np.argpartition(-cosine, n - 1, axis=1)[:, :n]
-            weight = np.maximum(np.take_along_axis(cosine, best, 1), 0) ** 4 + 1e-12
-            out[k] = (weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1)
+            weighted = shares(counts[k]) * self.weights
+            weight, label = self.votes((weighted @ self.axes) / length(weighted) @ self.vectors.T)
+            asked = self.floor * np.minimum(counts[k, N_PATTERNS + STRINGS :].sum(axis=1) / ENOUGH, 1)
+            out[k] = (weight * label).sum(axis=1) / np.maximum(weight.sum(axis=1), asked)
         return out
 
 
@@ -135,12 +183,14 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [features(t).tobytes() for t in batch.column("text").to_pylist()]
+            counts = [packed(features(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.binary()), batch.column("label")], ["doc_id", "counts", "label"])
 
     # Rows that share an id give one row of the sample.
     found = rows.mapInArrow(run, "doc_id long, counts binary, label int").groupBy("doc_id").agg(F.min("counts").alias("counts"), F.first("label").alias("label")).orderBy("doc_id").collect()
-    counts = np.array([np.frombuffer(r.counts, np.float32) for r in found]).reshape(-1, N_FEATURES)
+    counts = np.zeros((len(found), N_FEATURES), np.float32)
+    for k, r in enumerate(found):
+        counts[k] = unpacked(r.counts)
     return Model(counts, np.array([r.label for r in found], np.int64))
 
 
@@ -152,7 +202,9 @@ def classify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = shared.value.score(np.array([features(t) for t in batch.column(1).to_pylist()], np.float32).reshape(-1, N_FEATURES))
+            texts, score = batch.column(1), np.empty(batch.num_rows)
+            for k in range(0, len(score), BLOCK):
+                score[k : k + BLOCK] = shared.value.score(np.array([features(t) for t in texts.slice(k, BLOCK).to_pylist()], np.float32))
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(score)], schema.names)
 
     kept = [F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)]

@@ -186,3 +186,32 @@ def test_malformed_pages_take_time_in_proportion(part):
     began = time.perf_counter()
     html_extract.extract(part * (1_000_000 // len(part)))
     assert time.perf_counter() - began < 20
+
+
+def test_votes_against_brute_force(spark):
+    """Scores by cosines of whole weighted texts with every labelled vector, one by one."""
+    rows, labels = labelled(spark, 150)
+    model = quality_classifier.fit(rows, labels)
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    for r in quality_classifier.classify(rows, model).collect():
+        counts = quality_classifier.features(texts[r.doc_id])
+        x = quality_classifier.shares(counts[None])[0].astype(np.float64) * model.weights
+        place = x @ model.axes
+        votes = sorted(((max(0.0, float(place @ v) / np.linalg.norm(x)) ** 4, y) for v, y in zip(model.vectors, model.labels)), reverse=True)[:15]
+        asked = model.floor * min(1, len(texts[r.doc_id].split()) / 40)
+        assert r.score == pytest.approx(sum(w * y for w, y in votes) / max(sum(w for w, _ in votes), asked), abs=1e-3)
+
+
+def test_unknown_words_are_not_good(spark):
+    rng = random.Random(4)
+    rows, labels = labelled(spark)
+    model = quality_classifier.fit(rows, labels)
+    good = [prose(rng, 120) for _ in range(20)]
+    odd = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") if "a" <= c <= "z" else c for c in t) for t in good]
+    score = [r.score for r in quality_classifier.classify(frame(spark, good + odd), model).orderBy("doc_id").collect()]
+    assert min(score[:20]) >= 0.5 and max(score[20:]) < 0.5
+
+
+def test_terms_pack():
+    counts = quality_classifier.features("some words, some words")
+    assert (quality_classifier.unpacked(quality_classifier.packed(counts)) == counts).all()
