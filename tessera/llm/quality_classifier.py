@@ -46,7 +46,7 @@ SAMPLE = 1000
 #: Dimensions of the latent space, neighbours that vote, and documents whose cosines are taken at once.
 RANK, NEIGHBOURS, BLOCK = 64, 15, 128
 #: Hashed words and hashed three-byte strings, and the parts of the weighted text that patterns, strings and words have.
-STRINGS, WORDS = 1 << 12, 1 << 12
+STRINGS, WORDS = 1 << 13, 1 << 13
 PARTS = (0.5, 0.25, 0.25)
 #: Power of a similarity that votes, the share of the sample's usual weight below which a text is like none of it, and the words from which that holds in full.
 POWER, USUAL, FLOOR, ENOUGH = 4, 0.02, 0.5, 40
