@@ -70,10 +70,10 @@ class MergeTransducer:
             found = self.pairs[left, right] = self.merged("".join(own)) == own
         return found
 
-    def ends(self, number: int, symbol: str) -> tuple[list[tuple], tuple]:
+    def ends(self, members: tuple, symbol: str) -> tuple[list[tuple], tuple]:
         """Members that go on inside a token after the symbol, and the tokens of the prefix that it ends."""
         going, whole, children, pairs = [], None, self.children, self.pairs
-        for node, last, pending in self.states[number]:
+        for node, last, pending in members:
             child = children[node].get(symbol)
             if child is None:
                 continue
@@ -88,10 +88,11 @@ class MergeTransducer:
             raise ValueError(f"no token covers the symbol {symbol!r}")
         return going, whole
 
-    def step(self, number: int, symbol: str) -> tuple[int, tuple[int, ...]]:
-        going, whole = self.ends(number, symbol)
+    def follow(self, members: tuple, symbol: str) -> tuple[tuple, tuple[int, ...]]:
+        """The state after the symbol, and the tokens emitted."""
+        going, whole = self.ends(members, symbol)
         if not going:
-            return self.kept(number, symbol, ((0, whole[-1], ()),), whole)
+            return ((0, whole[-1], ()),), whole
         agreed = 0
         for x in whole:
             if any(len(p) <= agreed or p[agreed] != x for _, _, p in going):
@@ -99,7 +100,10 @@ class MergeTransducer:
             agreed += 1
         if agreed:
             going = [(node, last, p[agreed:]) for node, last, p in going]
-        return self.kept(number, symbol, (*going, (0, whole[-1], whole[agreed:])), whole[:agreed])
+        return (*going, (0, whole[-1], whole[agreed:])), whole[:agreed]
+
+    def step(self, number: int, symbol: str) -> tuple[int, tuple[int, ...]]:
+        return self.kept(number, symbol, *self.follow(self.states[number], symbol))
 
     def kept(self, number: int, symbol: str, state: tuple, emitted: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
         if len(self.numbers) >= MAX_STATES and state not in self.numbers:
@@ -123,5 +127,5 @@ class MergeTransducer:
             at, emitted = found if found is not None else self.step(at, c)
             if emitted:
                 out += emitted
-        out += self.ends(at, final or symbols[-1])[1]
+        out += self.ends(self.states[at], final or symbols[-1])[1]
         return out

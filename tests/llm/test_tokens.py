@@ -161,3 +161,38 @@ def test_shards_are_bounded(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(corpus(8, 30)[:40])], ["doc_id", "text"])
     found = list(packing.shards([batch], ids, np.uint32(1).tobytes()))
     assert sum(len(k) for k, _ in found) == 40 and len(found) > 5
+
+
+@pytest.mark.parametrize("chunk", [1, 5, 1 << 16])
+def test_counts_of_random_texts(monkeypatch, chunk):
+    """Contractions, marks, numbers, odd white space and special strings next to each other, cut anywhere."""
+    monkeypatch.setattr(token_counts, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    letters = [*"aabcdesStTrReEvVmMlLdD''''!!,.<|>123 \n\t\x1c\x85  éÉßİΣσ̈日語😀½²Ⅷ_-", "<|endoftext|>", "'ll", "'re", " '", "'s"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    counter = token_counts.WordBPE(WORD)
+    assert [counter.count(t) for t in texts] == [len(e.ids) for e in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_machine_of_few_states_counts_alike(monkeypatch):
+    monkeypatch.setattr(token_counts, "MAX_STATES", 5)
+    counter = token_counts.WordBPE(WORD)
+    texts = corpus(9, 20) + MORE
+    assert [counter.count(t) for t in texts] == [len(e.ids) for e in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
+    assert len(counter.values) <= 7
+
+
+def test_maps_lead_from_state_to_state():
+    counter = token_counts.WordBPE(WORD)
+    rng = random.Random(3)
+    text = " ".join(corpus(4, 6))[:3000].lower()
+    maps = [counter.chunk(text[k : k + 7]) for k in range(0, len(text), 7)]
+    state, n = counter.start, 0
+    for m in maps:  # one after the other, each from the state that the one before gives
+        state, more = counter.walk(state, m.head)
+        n, state = n + more + (m.count if m.cut else 0), m.right if m.cut else state
+    cut = rng.randrange(len(maps))
+    joined = counter.compose(counter.scan(maps[:cut] or [counter.chunk("")]), counter.scan(maps[cut:]))
+    for whole in (joined, counter.scan(maps)):
+        right, head = counter.walk(counter.start, whole.head)
+        assert (whole.right if whole.cut else right, head + (whole.count if whole.cut else 0)) == (state, n)
