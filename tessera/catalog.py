@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import formats
 from .functions import prompts
 from .functions.similarity import similarity, too_similar
 from .functions.text import checkpoint_number, clean_answer, estimate_tokens, heading_label, normalize, or_default, round_half_even, stable_rank
@@ -19,8 +20,8 @@ from .operators import checks, contexts, corpus, evaluation, export, sampling, s
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Parameters of the stand-in corpus: least and most characters of a line, budgets of contexts.
-LEAST, MOST, ADJACENT, PAGE_TOKENS = 40, 550, 400, 150
+#: Parameters of the stand-in corpus: least characters of a line, budgets of contexts.
+LEAST, ADJACENT, PAGE_TOKENS = 40, 400, formats.PAGE_TOKENS
 
 
 def query(sql: str | None = None):
@@ -95,7 +96,8 @@ def sections(spark, sf_dir):
     return contexts.sections(rows).select("chunk_id", F.col("section").cast("long").alias("section"))
 
 
-PAGES = f"""{ELIGIBLE}, fit AS (SELECT *, 'PAGE TITLE: Title of ' || source || chr(10) || chr(10) AS title, 'part > ' || CAST(position // 3 AS VARCHAR) AS label FROM eligible WHERE length(chunk_text) <= {MOST}),
+# A source is a page here, of more than one window: all eligible lines of its documents, by their place in the document.
+PAGES = f"""{ELIGIBLE}, fit AS (SELECT * REPLACE (source AS doc_id), 'PAGE TITLE: Title of ' || source || chr(10) || chr(10) AS title, 'part > ' || CAST(position // 3 AS VARCHAR) AS label FROM eligible),
 rendered AS (SELECT *, 'SECTION: ' || label || chr(10) || chunk_text AS body, row_number() OVER w AS k FROM fit WINDOW w AS (PARTITION BY doc_id ORDER BY position, chunk_id)),
 marked AS (SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY doc_id ORDER BY k) THEN 0 ELSE 1 END AS starts, length(title) + sum(length(body)) OVER (PARTITION BY doc_id) + 2 * (count(*) OVER (PARTITION BY doc_id) - 1) AS page_chars FROM rendered),
 numbered AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY k) AS section FROM marked),
@@ -109,7 +111,7 @@ windows AS (SELECT s.doc_id, w, any_value(title) || string_agg(body, chr(10) ||
 
 
 def page_windows_of(spark, sf_dir):
-    rows = eligible_lines(spark, sf_dir).where(F.length("chunk_text") <= MOST)
+    rows = eligible_lines(spark, sf_dir).withColumn("doc_id", F.replace("source_title", F.lit("Title of ")))
     return contexts.page_contexts(rows, PAGE_TOKENS)
 
 
@@ -148,9 +150,13 @@ def manifest(spark, sf_dir):
     return corpus.source_manifest(rows).select("document_count", "chunk_count")
 
 
-@query()
+@query(f"""WITH {CHUNKS}, part AS (SELECT c.doc_id, sha256('{{"doc_id":"' || c.doc_id || '","document_version":"v1","chunk_id":"' || c.doc_id || '-' || position || '","source_content_hash":"' || sha256(d.text) || '"}}') AS digest, position
+  FROM chunks c JOIN labels l ON l.doc_id = CAST(c.doc_id AS BIGINT) JOIN documents d ON d.doc_id = l.doc_id WHERE l.quality = 1),
+page AS (SELECT doc_id, sha256(string_agg(digest, '' ORDER BY position)) AS digest, count(*) AS chunks FROM part GROUP BY doc_id),
+folded AS (SELECT substr(sha256(doc_id || ':v1'), 1, 3) AS range, sha256(string_agg(digest, '' ORDER BY doc_id)) AS digest, count(*) AS documents, sum(chunks) AS chunks FROM page GROUP BY 1)
+SELECT CAST(sum(documents) AS BIGINT) AS document_count, CAST(sum(chunks) AS BIGINT) AS chunk_count, sha256(string_agg(digest, '' ORDER BY range)) AS manifest_sha256 FROM folded""")
 def manifest_digest(spark, sf_dir):
-    """The same with its digest, which no SQL of another engine reproduces."""
+    """The same with its digest."""
     return corpus.source_manifest(corpus.active_chunks(corpus_documents(spark, sf_dir), corpus_chunks(spark, sf_dir).drop("category")))
 
 
@@ -171,24 +177,29 @@ def selection(spark, sf_dir):
     return sampling.checkpoint_selection(rows, 50).select("doc_id", "category", F.col("selection_index").cast("long").alias("selection_index"))
 
 
-@query()
+@query("SELECT doc_id FROM documents ORDER BY sha256('17:' || doc_id), doc_id LIMIT 64")
 def seeded(spark, sf_dir):
     return sampling.seeded_subset(read(spark, sf_dir, "documents").select("doc_id"), 64, 17, "doc_id")
 
 
+#: All turns of a conversation in order; n of them, the first two by name.
+TURNS = """t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations),
+p AS (SELECT conv_id, count(*) AS n, max(role) FILTER (k = 1) AS r0, max(text) FILTER (k = 1) AS t0, max(role) FILTER (k = 2) AS r1, max(text) FILTER (k = 2) AS t1 FROM t GROUP BY conv_id)"""
+
+
 def conversations_messages(spark, sf_dir):
     turn = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("message"))
-    rows = read(spark, sf_dir, "conversations").where("turn < 2").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     return rows.select("conv_id", F.col("turns.message").alias("messages"))
 
 
-@query(f"""WITH p AS (SELECT conv_id, count(*) AS n, max(role) FILTER (turn = 0) AS r0, max(text) FILTER (turn = 0) AS t0, max(role) FILTER (turn = 1) AS r1, max(text) FILTER (turn = 1) AS t1 FROM conversations WHERE turn < 2 GROUP BY conv_id)
+@query(f"""WITH {TURNS}
 SELECT conv_id, coalesce(n = 2 AND r0 = 'user' AND r1 = 'assistant' AND {STRIPPED('t0')} <> '' AND {STRIPPED('t1')} <> '', false) AS valid FROM p""")
 def messages(spark, sf_dir):
     return conversations_messages(spark, sf_dir).select("conv_id", checks.valid_messages().alias("valid"))
 
 
-@query("""WITH p AS (SELECT conv_id, count(*) AS n, max(role) FILTER (turn = 0) AS r0, max(text) FILTER (turn = 0) AS t0, max(role) FILTER (turn = 1) AS r1, max(text) FILTER (turn = 1) AS t1 FROM conversations WHERE turn < 2 GROUP BY conv_id)
+@query(f"""WITH {TURNS}
 SELECT t0 AS prompt, t1 AS completion FROM p WHERE n = 2 AND r0 = 'user' AND r1 = 'assistant' AND trim(t0) <> '' AND trim(t1) <> ''""")
 def prompt_completion(spark, sf_dir):
     rows = export.prompt_completion(conversations_messages(spark, sf_dir))
@@ -281,7 +292,7 @@ def questions_of(spark, sf_dir):
     return rows.withColumn("answer_status", F.when(F.col("question_id") % 5 == 0, "error:x").otherwise("complete"))
 
 
-CANDIDATES = f"""WITH p AS (SELECT conv_id, count(*) AS n, max(text) FILTER (turn = 0) AS t0, max(text) FILTER (turn = 1) AS t1 FROM conversations WHERE turn < 2 GROUP BY conv_id)
+CANDIDATES = f"""WITH {TURNS}
 SELECT 'db:' || conv_id AS training_example_id, conv_id || ':v1' AS source_page_id, CASE lang WHEN 'en' THEN 'uncategorized' ELSE lang END AS category, {STRIPPED('t0')} AS training_question, {STRIPPED('t1')} AS training_answer, 'quoted' AS evidence, '' AS source_title
 FROM p JOIN documents d ON d.doc_id = conv_id WHERE n = 2 AND conv_id % 3 <> 0 AND conv_id % 4 <> 0 AND conv_id % 5 <> 0"""
 
@@ -292,12 +303,12 @@ def candidates(spark, sf_dir):
     return rows.select("training_example_id", "source_page_id", "category", "training_question", "training_answer", F.array_join("evidence", "|").alias("evidence"), "source_title")
 
 
-@query("""SELECT 'db:' || conv_id AS training_example_id, 'independent' AS dataset_kind, t0 AS question, 'db:' || conv_id AS named FROM (SELECT conv_id, max(text) FILTER (turn = 0) AS t0 FROM conversations WHERE turn < 2 GROUP BY conv_id) JOIN documents d ON d.doc_id = conv_id
-UNION ALL SELECT 'page:' || conv_id, 'page_aware', t0, 'page:' || conv_id FROM (SELECT conv_id, max(text) FILTER (turn = 0) AS t0 FROM conversations WHERE turn < 2 GROUP BY conv_id) JOIN documents d ON d.doc_id = conv_id""")
+@query(f"""WITH {TURNS} SELECT 'db:' || conv_id AS training_example_id, 'independent' AS dataset_kind, n AS turns, t0 AS question, 'db:' || conv_id AS named FROM p JOIN documents d ON d.doc_id = conv_id
+UNION ALL SELECT 'page:' || conv_id, 'page_aware', n, t0, 'page:' || conv_id FROM p JOIN documents d ON d.doc_id = conv_id""")
 def training_rows(spark, sf_dir):
     rows = examples_of(spark, sf_dir)
     both = export.training_rows(rows, "independent", "db").unionByName(export.training_rows(rows, "page_aware", "page"))
-    return both.select("training_example_id", "dataset_kind", F.col("example.messages")[0]["content"].alias("question"), F.col("provenance.training_example_id").alias("named"))
+    return both.select("training_example_id", "dataset_kind", F.size("example.messages").cast("long").alias("turns"), F.col("example.messages")[0]["content"].alias("question"), F.col("provenance.training_example_id").alias("named"))
 
 
 @query(f"""WITH saved AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' edited' ELSE replace(text, ' ', '  ') END AS context FROM documents), current AS (SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0)
@@ -316,9 +327,34 @@ def similar(spark, sf_dir):
     return rows.select("conv_id", "turn", F.round(similarity(F.col("training"), F.col("evaluation")), 6).alias("ratio"), too_similar(F.col("training"), F.col("evaluation")).alias("too_similar"))
 
 
-@query("SELECT page_id, 'SOURCE TITLE:' || chr(10) || url || chr(10) || chr(10) || 'TRAINING QUESTION:' || chr(10) || 'q' || chr(10) || chr(10) || 'TRAINING ANSWER:' || chr(10) || 'a' || chr(10) || chr(10) || 'GROUNDING:' AS asked FROM pages WHERE false UNION ALL SELECT page_id, 'QUESTION:' || chr(10) || url || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || url FROM pages")
+PART = lambda name, value: f"'{name}:' || chr(10) || {value}"
+ASKED = lambda *parts: " || chr(10) || chr(10) || ".join(PART(n, v) for n, v in parts)
+
+
+@query(f"""SELECT page_id, 'system user' AS roles, {ASKED(('CONTEXT', 'html'))} AS adjacent, {ASKED(('PAGE CONTEXT', 'html'))} AS page, {ASKED(('QUESTION', 'url'), ('CONTEXT', 'html'))} AS answer,
+  {ASKED(('SOURCE TITLE', 'url'), ('TRAINING QUESTION', 'html'), ('TRAINING ANSWER', 'url'), ('EVIDENCE', "'- ' || url || chr(10) || chr(10) || '- ' || html"))} AS evaluation, {ASKED(('QUESTION', 'url'), ('REFERENCE', 'html'), ('CANDIDATE', 'url'))} AS judge FROM pages""")
 def prompts_of_pages(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", prompts.answer_messages(F.col("url"), F.col("url"))[1]["content"].alias("asked"))
+    """What each of the five prompts asks of a page."""
+    url, html = F.col("url"), F.col("html")
+    made = {"adjacent": prompts.question_messages(html), "page": prompts.page_question_messages(html), "answer": prompts.answer_messages(url, html), "evaluation": prompts.evaluation_messages(url, html, url, F.array(url, html)), "judge": prompts.judge_messages(url, html, url)}
+    roles = F.array_join(F.array_distinct(F.flatten(F.array(*(F.transform(m, lambda x: x["role"]) for m in made.values())))), " ")
+    return read(spark, sf_dir, "pages").select("page_id", roles.alias("roles"), *(m[1]["content"].alias(name) for name, m in made.items()))
+
+
+@query("SELECT candidate, benchmark_index, coalesce(c BETWEEN 1 AND 5 AND d BETWEEN 1 AND 5 AND u >= 0, false) AS valid FROM (SELECT event_type AS candidate, event_id AS benchmark_index, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, k % 7 AS c, k % 5 + 1 AS d, k % 4 - 1 AS u FROM events)")
+def judgements(spark, sf_dir):
+    """Which judgements are within their scales; some are made not to be."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    judge = F.struct((k % 7).alias("correctness"), (k % 5 + 1).alias("completeness"), (k % 4 - 1).alias("unsupported_claims"), F.lit("").alias("rationale"))
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("candidate"), F.col("event_id").alias("benchmark_index"), judge.alias("judge"))
+    return rows.select("candidate", "benchmark_index", checks.valid_judgement().alias("valid"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS context_id FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey")
+def pending_in_order(spark, sf_dir):
+    """Pending rows in the order of their insertion."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "pending").otherwise("complete").alias("question_status"))
+    return staging.pending(rows, "question_status", "o_orderkey").select(F.col("o_orderkey").cast("string").alias("context_id"))
 
 
 # ---- evaluation ----

@@ -1,4 +1,7 @@
-"""Prompts as arrays of messages. The wording is this engine's own."""
+"""Prompts as arrays of messages, written from the replies that they have to bring.
+
+Each states the reply's fields first, then what a field may draw on.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +10,17 @@ from pyspark.sql import functions as F
 
 from .text import messages
 
-ADJACENT_QUESTIONS = "Write one to three questions for training a documentation assistant. Each has to be answered in full by the context below and make sense without it. Vary the kind of question. Reply with JSON holding a list named questions."
-PAGE_QUESTIONS = "Write three to six questions a reader of this documentation page might ask, or one or two if the page is short. Cover different topics and connect related facts. Don't ask what the page leaves open. Reply with JSON holding a list named questions."
-ANSWERS = "Answer from the context below and nothing else. Explain first, then give steps, limits or examples that the context has. Reply with JSON holding a text named answer and a list named evidence of short quotations; leave both empty if the context has no answer."
-EVALUATION = "Write one new question on the knowledge that the training question tests, in other words and from another angle, with an answer from the evidence alone. Reply with JSON holding a question, an answer and a list named evidence."
-JUDGE = "Compare the candidate's answer with the reference. Reply with JSON: correctness and completeness from 1 to 5, the number of unsupported_claims, and a rationale of two sentences at most."
+
+def _reply(task: str, **fields: str) -> str:
+    """A prompt: the task, and a JSON object with these fields."""
+    return " ".join([task, "Your reply is one JSON object, with nothing around it:", *(f"`{name}`: {meaning};" for name, meaning in fields.items())]).rstrip(";") + "."
+
+
+ADJACENT_QUESTIONS = _reply("You are given a passage.", questions="a list of one, two or three texts, each a question to which the passage alone is a full answer and which a reader without the passage can understand; no two of a kind")
+PAGE_QUESTIONS = _reply("You are given a page of a manual.", questions="a list of three to six texts, of one or two where the page has little to say; each is a question that somebody who needs the manual could have, that the page settles, and that no other item repeats")
+ANSWERS = _reply("You are given a question and a context; nothing outside of the context is known.", answer="a text that settles the question, with the conditions and commands that the context names for it, or an empty text where the context doesn't settle it", evidence="a list of passages copied from the context on which the answer rests, empty if the answer is")
+EVALUATION = _reply("You are given a question with its answer, and passages on which that answer rests.", question="a text that tests whether somebody has understood the same facts and that shares little wording with the given question", answer="a text that the passages support in full", evidence="a list of the passages used")
+JUDGE = _reply("You are given a question, a reference and a candidate's answer to it.", correctness="1 (false) to 5 (agrees with the reference throughout)", completeness="1 (leaves out nearly all) to 5 (has all that the reference has)", unsupported_claims="how many statements of the candidate the reference doesn't bear out, from 0", rationale="a text of one or two sentences")
 
 
 def _user(**parts: Column) -> Column:

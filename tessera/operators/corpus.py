@@ -53,8 +53,8 @@ def source_manifest(rows: DataFrame) -> DataFrame:
     row = F.sha2(F.to_json(F.struct(IDENTITY), {"ignoreNullFields": "false"}), 256)
     ordered = lambda value, *order: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, value.alias("digest")))), lambda x: x["digest"]), ""), 256)
     pages = rows.groupBy(PAGE).agg(ordered(row, "position", "chunk_id").alias("digest"), F.count("*").alias("chunks"))
-    # Pages are folded in 4096 ranges of a hash, then those in order: bounded lists at any size.
-    ranges = pages.groupBy(F.pmod(F.xxhash64(*PAGE), F.lit(4096)).alias("range")).agg(ordered(F.col("digest"), *PAGE).alias("digest"), F.count("*").alias("documents"), F.sum("chunks").alias("chunks"))
+    # Pages are folded in 4096 ranges (three digits of a digest), then those in order.
+    ranges = pages.groupBy(F.substring(F.sha2(F.concat_ws(":", *PAGE), 256), 1, 3).alias("range")).agg(ordered(F.col("digest"), *PAGE).alias("digest"), F.count("*").alias("documents"), F.sum("chunks").alias("chunks"))
     return ranges.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("document_count"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunk_count"), ordered(F.col("digest"), "range").alias("manifest_sha256"))
 
 

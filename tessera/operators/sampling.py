@@ -68,4 +68,4 @@ def _of_size(rows: DataFrame, size: int) -> DataFrame:
 def seeded_subset(rows: DataFrame, size: int, seed: int, key: str) -> DataFrame:
     """`size` rows in an order by seed, all of them if there are fewer."""
     positive(size=size)
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(size)
+    return rows.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), key).limit(size)
