@@ -104,7 +104,7 @@ def generate_benchmark(store: Store, client: Client, model: str, revision: str,
     prompt = evaluation_messages(*(F.col(f"_c.{c}") for c in ("source_title", "training_question", "training_answer", "evidence")))
     replies = _written(store, "benchmark", called(rows.select("training_example_id", "payload", F.to_json(prompt).alias("messages")), client, workers=settings.workers, retries=1))
     parsed = replies.withColumn("_c", F.from_json("payload", CANDIDATE)).withColumn("_reply", F.from_json("reply", "question string, answer string, evidence array<string>"))
-    fits = F.coalesce((F.col("_reply.question") != "") & (F.col("_reply.answer") != "") & (F.size("_reply.evidence") > 0), F.lit(False))
+    fits = F.coalesce((F.col("_reply.question") != "") & (F.col("_reply.answer") != "") & (F.size("_reply.evidence") > 0) & F.forall("_reply.evidence", lambda e: F.coalesce(e != "", F.lit(False))), F.lit(False))
     parsed = parsed.withColumn("_status", F.coalesce("error", F.when(fits, formats.COMPLETE).otherwise(formats.ERROR + "the reply doesn't fit the schema")))
     good = parsed.where(F.col("_status") == formats.COMPLETE).withColumn("question", strip(F.col("_reply.question"))).withColumn("answer", strip(F.col("_reply.answer"))).withColumn("evidence", stripped_texts(F.col("_reply.evidence")))
     good = good.withColumn("_near", too_similar(F.col("_c.training_question"), F.col("question")))
