@@ -97,13 +97,14 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bins = [f"CAST(size(filter(common, w -> w IN ({listed(words.split()[a:b])}))) AS DOUBLE) AS {lang}_{k}" for lang, words in COMMON_WORDS.items() for k, (a, b, _) in enumerate(RANKS)]
     rows = rows.selectExpr("doc_id", *own, "n_chars", *(f"n_{c}" for c in CLASSES), "n_symbols", "n_words", "n_chars - n_space AS word_chars", "n_dup_lines", f"{N_REPEAT} AS n_repeat_words", *bins)
     rows = rows.selectExpr("*", f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed", f"n_words < {LEAST_WORDS} OR n_chars < {LEAST_CHARS} AS too_short")
-    classes = [f"(n_{c} / n_chars)" for c in CLASSES]
-    classes.append(f"((n_chars - {' - '.join(f'n_{c}' for c in CLASSES)}) / n_chars)")
+    # An empty text has no shares: null, rather than a division by zero.
+    classes = [f"(n_{c} / nullif(n_chars, 0))" for c in CLASSES]
+    classes.append(f"((n_chars - {' - '.join(f'n_{c}' for c in CLASSES)}) / nullif(n_chars, 0))")
     by_class = [f"{distance(classes, with_rest(shares))} AS class_{lang}" for lang, shares in CLASS_SHARES.items()]
     by_word = []
     for lang in COMMON_WORDS:
         ranks = [f"{lang}_{k}" for k in range(len(RANKS))]
-        by_word.append(f"""{distance([f"({c} / n_words)" for c in (*ranks, f"(n_words - {' - '.join(ranks)})")], with_rest(tuple(share for *_, share in RANKS)))} AS word_{lang}""")
+        by_word.append(f"""{distance([f"({c} / nullif(n_words, 0))" for c in (*ranks, f"(n_words - {' - '.join(ranks)})")], with_rest(tuple(share for *_, share in RANKS)))} AS word_{lang}""")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     rows = rows.selectExpr("doc_id", *own, *counts, "too_short", *by_class, *by_word)
     of = {lang: f"greatest(class_{lang} / {CLASS_LIMIT}D, word_{lang} / {WORD_LIMIT}D)" for lang in COMMON_WORDS}

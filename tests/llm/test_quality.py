@@ -215,3 +215,10 @@ def test_unknown_words_are_not_good(spark):
 def test_terms_pack():
     counts = quality_classifier.features("some words, some words")
     assert (quality_classifier.unpacked(quality_classifier.packed(counts)) == counts).all()
+
+
+def test_verdicts_of_empty_texts(spark):
+    """No shares, no distances, no division by zero; a filter on the verdict doesn't bring one back."""
+    rows = quality_rules.quality_rules(frame(spark, [None, "", "   ", "\n", "word"]))
+    assert [(r.kept, r.class_distance, r.word_distance) for r in rows.collect()] == [(False, None, None)] * 5
+    assert rows.where("kept").count() == 0
