@@ -45,6 +45,8 @@ RING = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 LIMIT, SEED, SHINGLE = 4, 42, 4
 #: Shingles whose bits are counted at once, and fingerprints of a key above which pairs aren't compared one by one.
 BLOCK, LARGE = 1 << 14, 512
+#: Numbers that a pass over a large key holds.
+AT_ONCE = 1 << 22
 KEYED = np.dtype([("key", "<u8"), ("fingerprint", "<u8")])
 FLIPS = np.array([0, *(1 << a for a in range(64)), *((1 << a) | (1 << b) for a, b in combinations(range(64), 2))], np.uint64)
 
@@ -125,18 +127,29 @@ class Forest:
             self.links.append((min(p, q), max(p, q)))
 
 
-def link_large(x: np.ndarray, forest: Forest) -> None:
-    """Two fingerprints differ in four bits at most exactly if some number lies within two bits of both."""
-    residues = -(-len(x) * len(FLIPS) // (1 << 22))
-    for r in range(residues):
-        at, owner = [], []
-        for k in range(0, len(x), 2048):
-            y = (x[k : k + 2048, None] ^ FLIPS).ravel()
-            own = np.repeat(np.arange(k, min(k + 2048, len(x))), len(FLIPS))
-            take = mix(y) % np.uint64(residues) == r
-            at.append(y[take])
-            owner.append(own[take])
-        at, owner = np.concatenate(at), np.concatenate(owner)
+def parities(x: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """A number of len(masks) bits that is linear: that of x ^ y is the one of x ^ the one of y."""
+    out = np.zeros(len(x), np.int64)
+    for k, mask in enumerate(masks):
+        out |= (np.bitwise_count(x & mask) & 1).astype(np.int64) << k
+    return out
+
+
+def link_large(x: np.ndarray, forest: Forest, at_once: int = AT_ONCE) -> None:
+    """Two fingerprints differ in four bits at most exactly if some number lies within two bits of both.
+
+    Numbers are taken in passes by their parities. As these are linear, a pass
+    makes its own numbers and no others: each is made once in all.
+    """
+    passes = max(0, (-(-len(x) * len(FLIPS) // at_once) - 1).bit_length())
+    masks = np.random.default_rng(SEED).integers(1, 1 << 63, passes, dtype=np.uint64)
+    classes = range(1 << passes)
+    by_class = lambda values: [np.flatnonzero(parities(values, masks) == c) for c in classes]
+    owners, flips = by_class(x), by_class(FLIPS)
+    for r in classes:
+        at = [(x[owners[c], None] ^ FLIPS[flips[r ^ c]]).ravel() for c in classes]
+        owner = np.concatenate([np.repeat(owners[c], len(flips[r ^ c])) for c in classes])
+        at = np.concatenate(at)
         order = np.argsort(at, kind="stable")
         at, owner = at[order], owner[order]
         same = np.flatnonzero(at[1:] == at[:-1])

@@ -88,6 +88,19 @@ def test_no_link_is_lost(spark, monkeypatch, large):
     assert reachable(forest.links, nodes) == reachable(true, nodes)
 
 
+@pytest.mark.parametrize("at_once", [1 << 13, 1 << 16])
+def test_passes_over_a_large_key_lose_no_link(at_once):
+    rng = random.Random(at_once)
+    values = {rng.getrandbits(12) << 26 for _ in range(40)}
+    values |= {flipped(rng, x, rng.randint(1, 5)) for x in list(values)}
+    x = np.array(sorted(values), np.uint64)
+    forest = simhash_dedup.Forest()
+    simhash_dedup.link_large(x, forest, at_once)
+    true = [(int(a), int(b)) for a in x for b in x if a < b and int(a ^ b).bit_count() <= 4]
+    nodes = [int(v) for v in x]
+    assert reachable(forest.links, nodes) == reachable(true, nodes)
+
+
 def test_ring_condition_holds_for_all_near_pairs():
     rng = random.Random(9)
     near = np.array([flipped(rng, 0, rng.randint(0, 4)) for _ in range(4000)], np.uint64)
