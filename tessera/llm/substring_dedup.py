@@ -1,12 +1,14 @@
 """Removal of repeated word windows behind a count-min prefilter.
 
-1. Each bucket of documents makes a sparse sketch: the cells of its windows,
-   dealt to segments by hash. A segment merges the sketches of all buckets
-   into count-min rows and sends back to each bucket the cells whose estimate
-   is two or more. Counts are never underestimated, so no repeat is lost.
-2. Windows in those cells, and only those, are grouped exactly by a 96-bit
-   digest, made of two independent halves of the words' 128-bit hashes; all
-   but the earliest of a group are covered.
+1. Each bucket of documents makes a count-min sketch of its windows: DEPTH
+   rows of counters, cut into segments, which are sent as the counters that
+   aren't zero. A segment merges the sketches of all buckets by addition and
+   sends back to each bucket which of its counters came to two or more. A
+   window's estimate is the least of its counters. Counts are never
+   underestimated, so no repeat is lost.
+2. Windows estimated at two or more, and only those, are grouped exactly by a
+   96-bit digest, made of two independent halves of the words' 128-bit hashes;
+   all but the earliest of a group are covered.
 
 Buckets and segments follow the number of shuffle partitions, so a sketch has
 the same load at any size of input. Documents are dealt once by id and that
@@ -34,37 +36,46 @@ from .dedup_docs import MARK, NULL_ID, Bucket, by_kind, covered_runs, dealt, mar
 from .rolling import Spans, mix, pack_columns, packed_rows, runs, unpack_all, unpack_columns
 from .suffix_dedup import grouped, shared
 
-#: Bits of a window's cell digest, and rows and bits of the merged counters of a segment.
-CELL_BITS, DEPTH, WIDTH_BITS = 28, 2, 22
+#: Rows of counters of a sketch, and bits of a counter's number in a row of a segment.
+DEPTH, WIDTH_BITS = 2, 23
 CELLS, AGAIN, WINDOWS, COVERED = 0, 1, 2, 3
 #: Bytes of texts whose words are hashed at once.
 STRETCH = 1 << 20
 #: "doc" is the column that pack_columns keeps as differences.
-CELL = np.dtype([("doc", "<u4"), ("twice", "<u1")])
+CELL = np.dtype([("doc", "<u4"), ("count", "<u1")])
+NUMBER = np.dtype([("doc", "<u4")])
 WINDOW = np.dtype([("high", "<u8"), ("low", "<u4"), ("doc", "<i8"), ("version", "<u4"), ("start", "<u4")])
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 class CountMin:
-    """Merged counters of one segment."""
+    """Counters of one segment."""
 
     def __init__(self, depth: int = DEPTH, width_bits: int = WIDTH_BITS):
-        self.bits, self.rows = width_bits, [np.zeros(1 << width_bits, np.int64) for _ in range(depth)]
+        self.bits, self.rows = width_bits, [np.zeros(1 << width_bits, np.int32) for _ in range(depth)]
 
     def cells(self, row: int, digests: np.ndarray) -> np.ndarray:
-        return (mix(digests.astype(np.uint64) + np.uint64((row + 1) << 40)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return counter(row, digests.astype(np.uint64), self.bits).astype(np.int64)
+
+    def add(self, row: int, cells: np.ndarray, counts: np.ndarray) -> None:
+        """Merges a row of another sketch, given as its counters that aren't zero, each once."""
+        self.rows[row][cells] += counts
 
     def merge(self, digests: np.ndarray, twice: np.ndarray) -> None:
-        """Adds a sparse sketch: a count of one for each digest, of two where it says so."""
-        for k, row in enumerate(self.rows):
-            cells = self.cells(k, digests)
-            row += np.bincount(cells, minlength=len(row))
-            row += np.bincount(cells[twice > 0], minlength=len(row))
+        """Merges the sketch of these digests: a count of one for each, of two where it says so."""
+        for k in range(len(self.rows)):
+            cells, at = np.unique(self.cells(k, digests), return_inverse=True)
+            self.add(k, cells, np.bincount(at, 1 + (twice > 0)).astype(np.int32))
 
     def estimate(self, digests: np.ndarray) -> np.ndarray:
         return np.minimum.reduce([row[self.cells(k, digests)] for k, row in enumerate(self.rows)])
 
 
+def counter(row: int, digests: np.ndarray, bits: int = WIDTH_BITS) -> np.ndarray:
+    """Number of the digests' counters in a row."""
+    return mix(digests + np.uint64((row + 1) << 40)) >> np.uint64(64 - bits)
+
+
 class Windows:
     """The windows of a bucket's documents: digest, and where each begins."""
 
@@ -97,55 +108,74 @@ class Windows:
         own = owner[good]
         return own + first, good - place[own] if len(own) else good, high, (low >> np.uint64(32)).astype(np.uint32)
 
-    def cells(self, n_segments: int) -> np.ndarray:
-        """Segment in the high bits, cell digest in the low ones."""
-        return (hash_bucket(self.high, n_segments).astype(np.uint64) << np.uint64(CELL_BITS)) | (self.high & np.uint64((1 << CELL_BITS) - 1))
+    def counters(self, row: int, n_segments: int) -> np.ndarray:
+        """Segment in the high bits, number of the counter in the low ones."""
+        return (hash_bucket(self.high, n_segments).astype(np.uint64) << np.uint64(WIDTH_BITS)) | counter(row, self.high)
+
+
+#: Goes before each packed row of counters: the bucket or segment that sends it, and which row it is.
+HEAD = np.dtype([("sender", "<i4"), ("row", "<u1")])
+
+
+def headed(sender: int, row: int, records: np.ndarray) -> bytes:
+    return np.array([(sender, row)], HEAD).tobytes() + pack_columns(records)
+
+
+def unheaded(blob: bytes, dtype: np.dtype) -> tuple[int, int, np.ndarray]:
+    sender, row = np.frombuffer(blob, HEAD, 1)[0].tolist()
+    return sender, row, unpack_columns(blob[HEAD.itemsize :], dtype)[0]
 
 
 def sketch(docs: pa.Table, width: int, n: int) -> pa.Table:
-    """A bucket's sparse sketch, one row for each segment that it touches."""
-    number = np.int32(docs["bucket"][0].as_py()).tobytes()
-    cells, counts = np.unique(Windows(Bucket(docs), width).cells(n), return_counts=True)
-    if not len(cells):
-        return blob_table([])
-    segment = (cells >> np.uint64(CELL_BITS)).astype(np.int64)
-    records = np.empty(len(cells), CELL)
-    records["doc"], records["twice"] = cells & np.uint64((1 << CELL_BITS) - 1), counts > 1
-    return blob_table([(int(segment[a]), CELLS, number + pack_columns(records[a:b])) for a, b in zip(*runs(segment[1:] != segment[:-1]))])
+    """A bucket's sketch, one row for each row of each segment that it touches. Its own counts end at two: more tells nothing."""
+    number, windows, rows = docs["bucket"][0].as_py(), Windows(Bucket(docs), width), []
+    for row in range(DEPTH):
+        counters, counts = np.unique(windows.counters(row, n), return_counts=True)
+        if not len(counters):
+            continue
+        segment = (counters >> np.uint64(WIDTH_BITS)).astype(np.int64)
+        records = np.empty(len(counters), CELL)
+        records["doc"], records["count"] = counters & np.uint64((1 << WIDTH_BITS) - 1), np.minimum(counts, 2)
+        rows += [(int(segment[a]), CELLS, headed(number, row, records[a:b])) for a, b in zip(*runs(segment[1:] != segment[:-1]))]
+    return blob_table(rows)
 
 
 def merge_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges a segment's sketches and answers each bucket with its cells estimated at two or more."""
+    """Adds up a segment's sketches and tells each bucket which of its counters came to two or more."""
     for _, segment, blobs in grouped(batches):
-        counters, parts = CountMin(), []
-        for blob in blobs:
-            cells = unpack_columns(blob[4:], CELL)[0]
-            parts.append((int(np.frombuffer(blob, np.int32, 1)[0]), cells["doc"]))
-        cells = unpack_all([b[4:] for b in blobs], CELL)
-        counters.merge(cells["doc"], cells["twice"])
-        rows = []
-        for bucket, own in parts:
-            again = own[counters.estimate(own) > 1]
+        merged, parts, rows = CountMin(), [unheaded(b, CELL) for b in blobs], []
+        for _, row, cells in parts:
+            merged.add(row, cells["doc"], cells["count"])
+        for bucket, row, cells in parts:
+            again = cells["doc"][merged.rows[row][cells["doc"]] > 1]
             if len(again):
-                records = np.zeros(len(again), CELL)
-                records["doc"] = again
-                rows.append((bucket, AGAIN, np.int32(segment).tobytes() + pack_columns(records)))
+                rows.append((bucket, AGAIN, headed(segment, row, again.astype(NUMBER))))
         if rows:
             yield from blob_table(rows).to_batches()
 
 
+def estimated_again(windows: Windows, replies: list[bytes], n: int) -> np.ndarray:
+    """Which windows have counters of two or more in every row."""
+    parts = [unheaded(b, NUMBER) for b in replies]
+    out = np.arange(len(windows.high))
+    for row in range(DEPTH):
+        numbers = [(np.uint64(segment) << np.uint64(WIDTH_BITS)) | again["doc"].astype(np.uint64) for segment, r, again in parts if r == row]
+        if not numbers:
+            return out[:0]
+        again = np.sort(np.concatenate(numbers))
+        own = windows.counters(row, n)[out]
+        out = out[again[np.minimum(np.searchsorted(again, own), len(again) - 1)] == own]
+    return out
+
+
 def candidates(docs: pa.Table, replies: pa.Table, width: int, n: int) -> pa.Table:
-    """Windows in cells estimated at two or more; a bucket settles its own repeats."""
+    """Windows estimated at two or more; a bucket settles its own repeats."""
     blobs = by_kind(replies, AGAIN)
     if not docs.num_rows or not blobs:
         return blob_table([])
     bucket = Bucket(docs)
     windows = Windows(bucket, width)
-    parts = [(np.uint64(np.frombuffer(b, np.int32, 1)[0]) << np.uint64(CELL_BITS)) | unpack_columns(b[4:], CELL)[0]["doc"].astype(np.uint64) for b in blobs]
-    again = np.sort(np.concatenate(parts))
-    cells = windows.cells(n)
-    at = np.minimum(np.searchsorted(again, cells), len(again) - 1)
-    k = np.flatnonzero(again[at] == cells)
+    k = estimated_again(windows, blobs, n)
     records = np.empty(len(k), WINDOW)
     records["high"], records["low"], records["start"] = windows.high[k], windows.low[k], windows.start[k]
     records["doc"], records["version"] = bucket.doc[windows.owner[k]], bucket.version[windows.owner[k]]

@@ -154,6 +154,24 @@ def test_columns_pack(spark):
     assert (rolling.unpack_columns(rolling.pack_columns(marks), dedup_docs.MARK)[0] == marks).all()
 
 
+def test_merged_sketches_find_every_repeat():
+    """Sketches of buckets, added up segment by segment: each window that occurs twice is estimated again, few others are."""
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.randint(0, 9)) for _ in range(300)) for _ in range(6)]
+    texts[5] += " " + texts[0][:200]
+    buckets = [dedup_docs.pa.table({"bucket": [b, b], "doc": [2 * b, 2 * b + 1], "version": [0, 0], "text": texts[2 * b : 2 * b + 2]}) for b in range(3)]
+    sent = [r for b in buckets for r in substring_dedup.sketch(b, 8, 2).to_pylist()]
+    sent.sort(key=lambda r: r["bucket"])
+    merged = substring_dedup.merge_sketches(iter(substring_dedup.blob_table([(r["bucket"], 0, r["data"]) for r in sent]).to_batches()))
+    replies = [r for batch in merged for r in batch.to_pylist()]
+    windows = [substring_dedup.Windows(dedup_docs.Bucket(b), 8) for b in buckets]
+    every = [(int(h), int(w)) for k in windows for h, w in zip(k.high, k.low)]
+    for number, k in enumerate(windows):
+        found = set(substring_dedup.estimated_again(k, [r["data"] for r in replies if r["bucket"] == number], 2).tolist())
+        true = {j for j, d in enumerate(zip(k.high.tolist(), k.low.tolist())) if every.count(d) > 1}
+        assert true <= found and len(found) <= len(true) + 5
+
+
 def test_count_min_never_underestimates():
     rng = np.random.default_rng(1)
     counters = substring_dedup.CountMin(width_bits=6)
