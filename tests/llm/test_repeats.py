@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -159,7 +160,7 @@ def test_merged_sketches_find_every_repeat():
     rng = random.Random(4)
     texts = [" ".join(str(rng.randint(0, 9)) for _ in range(300)) for _ in range(6)]
     texts[5] += " " + texts[0][:200]
-    buckets = [dedup_docs.pa.table({"bucket": [b, b], "doc": [2 * b, 2 * b + 1], "version": [0, 0], "text": texts[2 * b : 2 * b + 2]}) for b in range(3)]
+    buckets = [pa.table({"bucket": [b, b], "doc": [2 * b, 2 * b + 1], "version": [0, 0], "text": texts[2 * b : 2 * b + 2]}) for b in range(3)]
     sent = [r for b in buckets for r in substring_dedup.sketch(b, 8, 2).to_pylist()]
     sent.sort(key=lambda r: r["bucket"])
     merged = substring_dedup.merge_sketches(iter(substring_dedup.blob_table([(r["bucket"], 0, r["data"]) for r in sent]).to_batches()))
