@@ -113,43 +113,43 @@ class Windows:
         return (hash_bucket(self.high, n_segments).astype(np.uint64) << np.uint64(WIDTH_BITS)) | counter(row, self.high)
 
 
-#: Goes before each packed row of counters: the bucket or segment that sends it, and which row it is.
-HEAD = np.dtype([("sender", "<i4"), ("row", "<u1")])
+#: Goes before the counters of a sketch's segment: the bucket or segment that sends them, and how many each row has.
+HEAD = np.dtype([("sender", "<i4"), ("sizes", "<i8", (DEPTH,))])
 
 
-def headed(sender: int, row: int, records: np.ndarray) -> bytes:
-    return np.array([(sender, row)], HEAD).tobytes() + pack_columns(records)
+def headed(sender: int, rows: list[np.ndarray]) -> bytes:
+    """All rows of one segment as one blob: a bucket sends each segment one record."""
+    return np.array([(sender, [len(r) for r in rows])], HEAD).tobytes() + pack_columns(np.concatenate(rows))
 
 
-def unheaded(blob: bytes, dtype: np.dtype) -> tuple[int, int, np.ndarray]:
-    sender, row = np.frombuffer(blob, HEAD, 1)[0].tolist()
-    return sender, row, unpack_columns(blob[HEAD.itemsize :], dtype)[0]
+def unheaded(blob: bytes, dtype: np.dtype) -> tuple[int, list[np.ndarray]]:
+    head = np.frombuffer(blob, HEAD, 1)[0]
+    return int(head["sender"]), np.split(unpack_columns(blob[HEAD.itemsize :], dtype)[0], np.cumsum(head["sizes"])[:-1])
 
 
 def sketch(docs: pa.Table, width: int, n: int) -> pa.Table:
-    """A bucket's sketch, one row for each row of each segment that it touches. Its own counts end at two: more tells nothing."""
+    """A bucket's sketch, one record for each segment that it touches. Its own counts end at two: more tells nothing."""
     number, windows, rows = docs["bucket"][0].as_py(), Windows(Bucket(docs), width), []
     for row in range(DEPTH):
         counters, counts = np.unique(windows.counters(row, n), return_counts=True)
-        if not len(counters):
-            continue
-        segment = (counters >> np.uint64(WIDTH_BITS)).astype(np.int64)
         records = np.empty(len(counters), CELL)
         records["doc"], records["count"] = counters & np.uint64((1 << WIDTH_BITS) - 1), np.minimum(counts, 2)
-        rows += [(int(segment[a]), CELLS, headed(number, row, records[a:b])) for a, b in zip(*runs(segment[1:] != segment[:-1]))]
-    return blob_table(rows)
+        segments = np.arange(n + 1, dtype=np.uint64) << np.uint64(WIDTH_BITS)
+        rows.append(np.split(records, np.searchsorted(counters, segments[1:-1])))
+    return blob_table([(segment, CELLS, headed(number, list(of))) for segment, of in enumerate(zip(*rows)) if len(of[0])])
 
 
 def merge_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up a segment's sketches and tells each bucket which of its counters came to two or more."""
     for _, segment, blobs in grouped(batches):
         merged, parts, rows = CountMin(), [unheaded(b, CELL) for b in blobs], []
-        for _, row, cells in parts:
-            merged.add(row, cells["doc"], cells["count"])
-        for bucket, row, cells in parts:
-            again = cells["doc"][merged.rows[row][cells["doc"]] > 1]
-            if len(again):
-                rows.append((bucket, AGAIN, headed(segment, row, again.astype(NUMBER))))
+        for _, own in parts:
+            for row, cells in enumerate(own):
+                merged.add(row, cells["doc"], cells["count"])
+        for bucket, own in parts:
+            again = [cells["doc"][merged.rows[row][cells["doc"]] > 1].astype(NUMBER) for row, cells in enumerate(own)]
+            if all(map(len, again)):
+                rows.append((bucket, AGAIN, headed(segment, again)))
         if rows:
             yield from blob_table(rows).to_batches()
 
@@ -157,14 +157,11 @@ def merge_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def estimated_again(windows: Windows, replies: list[bytes], n: int) -> np.ndarray:
     """Which windows have counters of two or more in every row."""
     parts = [unheaded(b, NUMBER) for b in replies]
-    out = np.arange(len(windows.high))
-    for row in range(DEPTH):
-        numbers = [(np.uint64(segment) << np.uint64(WIDTH_BITS)) | again["doc"].astype(np.uint64) for segment, r, again in parts if r == row]
-        if not numbers:
-            return out[:0]
-        again = np.sort(np.concatenate(numbers))
-        own = windows.counters(row, n)[out]
-        out = out[again[np.minimum(np.searchsorted(again, own), len(again) - 1)] == own]
+    out = np.arange(len(windows.high) if parts else 0)
+    for row in range(DEPTH if parts else 0):
+        again = np.sort(np.concatenate([(np.uint64(segment) << np.uint64(WIDTH_BITS)) | own[row]["doc"].astype(np.uint64) for segment, own in parts]))
+        counters = windows.counters(row, n)[out]
+        out = out[again[np.minimum(np.searchsorted(again, counters), len(again) - 1)] == counters]
     return out
 
 
