@@ -6,6 +6,8 @@ lines are chunks of its page, labels say which documents are active, and so on.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from .functions import prompts
 from .functions.similarity import similarity, too_similar
 from .functions.text import checkpoint_number, clean_answer, estimate_tokens, heading_label, normalize, or_default, round_half_even, stable_rank
 from .operators import checks, contexts, corpus, evaluation, export, sampling, staging
+from .sources.files import read_jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -275,8 +278,119 @@ def pending_counts(spark, sf_dir):
     return checks.pending_counts(read(spark, sf_dir, "orders").select(flag("o_orderstatus", "P").alias("question_status")), read(spark, sf_dir, "lineitem").select(flag("l_returnflag", "R").alias("answer_status")))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new place in the cluster's shared folder; a local one only where none is named and the session is local, as in tests."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        base = tempfile.mkdtemp(prefix="tessera-")
+    return f"{base.rstrip('/')}/catalog-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def new_store(spark: SparkSession) -> staging.Store:
+    store = staging.Store(spark, scratch(spark))
+    store.create()
+    return store
+
+
+def stored_contexts(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("context_id"), F.col("lang").alias("payload"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS context_id, lang AS payload, CASE doc_id % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'error:x' ELSE 'pending' END AS question_status FROM documents")
+def store_mark(spark, sf_dir):
+    """A store's contexts after an insert, a replay of it, and new statuses of some."""
+    store, rows = new_store(spark), stored_contexts(spark, sf_dir)
+    store.insert("contexts", rows)
+    store.insert("contexts", rows.withColumn("payload", F.lit("again")))
+    key = F.col("context_id").cast("long") % 4
+    store.mark("contexts", rows.where(key < 2).select("context_id", F.when(key == 0, "complete").otherwise("error:x").alias("question_status")))
+    return store.table("contexts")
+
+
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS context_id, event_type AS question, 'pending' AS answer_status FROM events")
+def store_insert(spark, sf_dir):
+    """Questions by context and wording: what is asked again isn't added."""
+    store = new_store(spark)
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("context_id"), F.col("event_type").alias("question"), F.lit(None).cast("string").alias("payload"))
+    store.insert("questions", rows.where("question < 'm'"), ["context_id", "question"])
+    store.insert("questions", rows, ["context_id", "question"])
+    return store.table("questions").select("context_id", "question", "answer_status")
+
+
+@query("SELECT doc_id AS question_id, lang AS payload, CAST(doc_id % 3 <> 0 AS INTEGER) AS accepted, CASE WHEN doc_id % 3 = 0 THEN 'short' END AS rejection_reason FROM documents")
+def store_put(spark, sf_dir):
+    """Examples, some replaced later."""
+    store = new_store(spark)
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.col("lang").alias("payload"))
+    store.put("examples", rows.select("*", F.lit(1).alias("accepted"), F.lit(None).cast("string").alias("rejection_reason")))
+    store.put("examples", rows.where("question_id % 3 = 0").select("*", F.lit(0).alias("accepted"), F.lit("short").alias("rejection_reason")))
+    return store.table("examples")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS training_example_id, lang AS category, 'pending' AS evaluation_status FROM documents WHERE lang = 'en'")
+def store_freeze(spark, sf_dir):
+    """A selection that was frozen stays, whatever is offered later."""
+    store = new_store(spark)
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("training_example_id"), F.col("lang").alias("category"), F.lit("{}").alias("payload"))
+    store.freeze("evaluation_candidates", rows.where("category = 'en'"))
+    return store.freeze("evaluation_candidates", rows.where("category = 'de'")).select("training_example_id", "category", "evaluation_status")
+
+
+@query("SELECT quality AS accepted, count(*) AS n FROM labels GROUP BY quality ORDER BY quality DESC")
+def accepted_counts(spark, sf_dir):
+    return staging.key_histogram(read(spark, sf_dir, "labels").select(F.col("quality").alias("accepted")), "accepted")
+
+
+@query("SELECT count(*) AS total, count(l.doc_id) AS done, count(*) - count(l.doc_id) AS remaining FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def progress(spark, sf_dir):
+    return staging.progress(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicates(spark, sf_dir):
+    """Keys that a check of uniqueness finds more than once."""
+    return checks.duplicates(read(spark, sf_dir, "documents"), ["text"])
+
+
 # ---- benchmark and export ----
 
+@query(ORACLES["balanced"])
+def checked_benchmark(spark, sf_dir):
+    """The balanced selection once it has passed the checks: its size, unique ids and pages, all of them training rows."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category"), F.concat_ws(":", "lang", "source").alias("source_page_id"), F.col("doc_id").cast("string").alias("training_example_id"))
+    chosen = sampling.benchmark_selection(rows, 40)
+    checked = checks.require_benchmark(chosen, rows, chosen.count())
+    return checked.select("doc_id", "category", F.col("selection_index").cast("long").alias("selection_index"))
+
+
+@query("SELECT count(*) AS saved FROM nation WHERE n_nationkey < 10")
+def resumed(spark, sf_dir):
+    """How many saved answers a run resumes after: they have to be the benchmark's first ones."""
+    rows = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("benchmark_index"), F.col("n_name").alias("question"))
+    return spark.range(1).select(F.lit(checks.require_prefix(rows.where("benchmark_index < 10"), rows)).cast("long").alias("saved"))
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def jsonl_round_trip(spark, sf_dir):
+    """Documents written as one JSONL file that must not exist, and read again."""
+    path = f"{scratch(spark)}/documents.jsonl"
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    export.write_jsonl(rows, path, order=["doc_id"])
+    return read_jsonl(spark, path, rows.schema)
+
+
+@query("""SELECT count(*) AS n, sha256(string_agg('{"doc_id":' || doc_id || '}' || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents""")
+def file_digest(spark, sf_dir):
+    """Lines and digest of an exported file, checked against each other as a manifest does."""
+    path = f"{scratch(spark)}/ids.jsonl"
+    export.write_jsonl(read(spark, sf_dir, "documents").select("doc_id"), path, order=["doc_id"])
+    found = export.file_metadata(spark, path)
+    export.verify_files(spark, {path: found["sha256"]})
+    return spark.range(1).select(F.lit(found["rows"]).cast("long").alias("n"), F.lit(found["sha256"]).alias("sha256"))
+
+
 def examples_of(spark, sf_dir):
     """Conversations as examples, their ids as questions, documents as contexts."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), "lang")

@@ -47,9 +47,13 @@ def require_size(rows: DataFrame, size: int, what: str) -> None:
         raise CheckFailed(f"{what}: expected {size} rows, found {n}")
 
 
+def duplicates(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Keys of more than one row, with their number."""
+    return rows.groupBy(columns).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def require_unique(rows: DataFrame, columns: list[str], what: str) -> None:
-    twice = rows.groupBy(columns).count().where("count > 1")
-    if not twice.isEmpty():
+    if not duplicates(rows, columns).isEmpty():
         raise CheckFailed(f"{what}: {', '.join(columns)} isn't unique")
 
 

@@ -63,6 +63,18 @@ def status_histogram(rows: DataFrame, status: str) -> DataFrame:
     return rows.groupBy(status).agg(F.count("*").alias("n")).orderBy(F.desc("n"), status)
 
 
+def key_histogram(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of each key, the greatest key first."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc(key))
+
+
+def progress(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Keys in all, those done, and how many are left, in one row."""
+    marked = rows.select(key).distinct().join(done.select(key).distinct().withColumn("_done", F.lit(True)), key, "left")
+    counts = marked.agg(F.count("*").alias("total"), F.count("_done").alias("done"))
+    return counts.withColumn("remaining", F.col("total") - F.col("done"))
+
+
 def question_id(context_id: str = "context_id", question: str = "question"):
     """An identity that doesn't depend on the order of arrival."""
     return F.xxhash64(context_id, question)
