@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, bounded_batches, texts_of
+from .common import BATCH_ROWS, bounded_batches, texts_of, tidy
 from .units import Generations, UnitCache
 
 #: Tokens of a shard: bounds memory and the sequences that a piece chooses from.
@@ -147,7 +147,7 @@ def pack(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id_col
                 yield rows(out)
             first += used
 
-    return texts_of(df, id_col, text_col).mapInArrow(run, FIELDS)
+    return texts_of(df, id_col, text_col).mapInArrow(tidy(run), FIELDS)
 
 
 def rows(out: list[tuple]) -> pa.RecordBatch:

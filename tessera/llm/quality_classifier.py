@@ -38,11 +38,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_batches, texts_of
+from .common import bounded_batches, give_back, texts_of, tidy
 from .rolling import byte_spans
 
 #: Labelled rows of each label that the model is fitted on, at most.
 SAMPLE = 1000
+#: Rows of the sample that the driver holds unpacked at once while it fits.
+ROWS = 256
 #: Dimensions of the latent space, neighbours that vote, and documents whose cosines are taken at once.
 RANK, NEIGHBOURS, BLOCK = 64, 15, 128
 #: Hashed words and hashed three-byte strings, and the parts of the weighted text that patterns, strings and words have.
@@ -123,29 +125,47 @@ def length(rows: np.ndarray) -> np.ndarray:
 class Model:
     """Latent space and labelled vectors of a bounded sample."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray):
-        """The counts (single precision) are used up: their memory holds the weighted rows."""
-        seen = (counts > 0).mean(axis=0) if len(counts) else np.zeros(N_FEATURES)
-        self.weights = np.log((1 + len(counts)) / (1 + len(counts) * seen)).astype(np.float32) + np.float32(1)
+    def __init__(self, rows: list[bytes], labels: np.ndarray):
+        """rows: packed counts, of which ROWS are unpacked at once."""
+        seen = np.zeros(N_FEATURES)
+        for data in rows:
+            seen[np.frombuffer(data[: len(data) // 2], "<u4")] += 1
+        self.weights = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + np.float32(1)
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.labels = labels.astype(np.float64)
         if len(set(labels.tolist())) < 2:
             self.axes, self.vectors = np.zeros((N_FEATURES, 1), np.float32), np.zeros((0, 1))
             return
-        weighted = shares(counts, counts)
-        weighted *= self.weights
-        weighted /= length(weighted)
-        values, left = np.linalg.eigh((weighted @ weighted.T).astype(np.float64))
+        cuts = range(0, len(rows), ROWS)
+        products = np.empty((len(rows), len(rows)))
+        for a in cuts:
+            own = self.weighted(rows[a : a + ROWS])
+            for b in range(0, a + 1, ROWS):
+                product = own @ (own if a == b else self.weighted(rows[b : b + ROWS])).T
+                products[a : a + ROWS, b : b + ROWS] = product
+                products[b : b + ROWS, a : a + ROWS] = product.T
+        values, left = np.linalg.eigh(products)
+        del products
         top = np.argsort(-values)[:RANK]
         top = top[values[top] > 1e-9]
-        self.axes = weighted.T @ (left[:, top] / np.sqrt(values[top])).astype(np.float32)
-        self.vectors = (weighted @ self.axes).astype(np.float64)
+        parts = (left[:, top] / np.sqrt(values[top])).astype(np.float32)
+        del left
+        self.axes = sum(self.weighted(rows[a : a + ROWS]).T @ parts[a : a + ROWS] for a in cuts)
+        self.vectors = np.concatenate([self.weighted(rows[a : a + ROWS]) @ self.axes for a in cuts]).astype(np.float64)
         own = self.vectors.copy()
         self.vectors /= length(self.vectors)
         cosine = own @ self.vectors.T
         np.fill_diagonal(cosine, 0)
         self.floor = FLOOR * float(np.quantile(self.votes(cosine)[0].sum(axis=1), USUAL))
 
+    def weighted(self, rows: list[bytes]) -> np.ndarray:
+        """Rows of unit length."""
+        out = np.array([unpacked(data) for data in rows])
+        shares(out, out)
+        out *= self.weights
+        out /= length(out)
+        return out
+
     def votes(self, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights of each row's nearest neighbours, and their labels."""
         n = min(NEIGHBOURS, cosine.shape[1])
@@ -187,11 +207,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.binary()), batch.column("label")], ["doc_id", "counts", "label"])
 
     # Rows that share an id give one row of the sample.
-    found = rows.mapInArrow(run, "doc_id long, counts binary, label int").groupBy("doc_id").agg(F.min("counts").alias("counts"), F.first("label").alias("label")).orderBy("doc_id").collect()
-    counts = np.zeros((len(found), N_FEATURES), np.float32)
-    for k, r in enumerate(found):
-        counts[k] = unpacked(r.counts)
-    return Model(counts, np.array([r.label for r in found], np.int64))
+    found = rows.mapInArrow(tidy(run), "doc_id long, counts binary, label int").groupBy("doc_id").agg(F.min("counts").alias("counts"), F.first("label").alias("label")).orderBy("doc_id").collect()
+    model = Model([bytes(r.counts) for r in found], np.array([r.label for r in found], np.int64))
+    del found
+    give_back()
+    return model
 
 
 def classify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -210,5 +230,5 @@ def classify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
     kept = [F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)]
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *kept)
     schema = StructType([f for f in rows.schema.fields if f.name != "text"] + [StructField("score", DoubleType())])
-    scored = rows.mapInArrow(run, schema)
+    scored = rows.mapInArrow(tidy(run), schema)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *(F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)))

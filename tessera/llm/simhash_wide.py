@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_DDL, blob_rows, blob_table, bounded_batches, buckets, hash_bucket, joined, materialize
+from .common import BLOB_DDL, blob_rows, blob_table, bounded_batches, buckets, hash_bucket, joined, materialize, tidy, tidy_groups
 from .components import components
 from .rolling import mix, runs
 from .suffix_dedup import grouped
@@ -194,8 +194,8 @@ def active_rows(texts: DataFrame, plan: Plan, shingle: int) -> DataFrame:
             columns = [own["key"].view(np.int64) if len(own) else own["key"].astype(np.int64), own["node"], own["size"].astype(np.int64), *own["print"].T.astype(np.uint64).view(np.int64), own["centre"]]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], [f.split()[0] for f in ACTIVE_DDL.split(", ")])
 
-    rows = texts.select("node", "text").mapInArrow(keyed, BLOB_DDL).repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket")
-    return materialize(rows.mapInArrow(matched, ACTIVE_DDL))
+    rows = texts.select("node", "text").mapInArrow(tidy(keyed), BLOB_DDL).repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket")
+    return materialize(rows.mapInArrow(tidy(matched), ACTIVE_DDL))
 
 
 def sets_of(texts: DataFrame, active: DataFrame, shingle: int) -> DataFrame:
@@ -206,7 +206,7 @@ def sets_of(texts: DataFrame, active: DataFrame, shingle: int) -> DataFrame:
             found = [shingles(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
 
-    return materialize(texts.select("node", "text").join(active.select("node").distinct(), "node", "left_semi").mapInArrow(run, "node long, shingles binary"))
+    return materialize(texts.select("node", "text").join(active.select("node").distinct(), "node", "left_semi").mapInArrow(tidy(run), "node long, shingles binary"))
 
 
 def similar(a: np.ndarray, others: list[np.ndarray], similarity: tuple[int, int]) -> np.ndarray:
@@ -232,7 +232,7 @@ def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def bridges(rows: DataFrame, plan: Plan) -> DataFrame:
@@ -265,7 +265,7 @@ def bridges(rows: DataFrame, plan: Plan) -> DataFrame:
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     n = buckets(rows.sparkSession)
-    return rows.join(mixed, "key").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n))).groupBy("bucket").applyInArrow(run, "a long, b long")
+    return rows.join(mixed, "key").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n))).groupBy("bucket").applyInArrow(tidy_groups(run), "a long, b long")
 
 
 def across(members: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
@@ -293,7 +293,7 @@ def across(members: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
         a, b = np.array(links, np.int64).reshape(-1, 2).T
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    return rows.groupBy("family", "low", "high").applyInArrow(run, "a long, b long")
+    return rows.groupBy("family", "low", "high").applyInArrow(tidy_groups(run), "a long, b long")
 
 
 def groups(texts: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: int = 5) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BLOB_DDL, blob_table, bounded_batches, buckets, hash_bucket
+from .common import BLOB_DDL, blob_table, bounded_batches, buckets, hash_bucket, tidy, tidy_groups
 from .dedup_docs import MARK, NULL_ID, Bucket, by_kind, covered_runs, dealt, mark_rows, merged
 from .rolling import byte_spans, mix, pack_columns, packed_rows, runs, unpack_all, unpack_columns
 
@@ -343,14 +343,14 @@ def suffix_dedup(df: DataFrame, width: int = 100, id_col: str = "doc_id", text_c
     def groups_2(batches):
         return last_groups(batches, width, n_docs)
 
-    found = docs.select("doc", "version", "text").mapInArrow(digit_1, BLOB_DDL)
-    found = by_bucket(found).mapInArrow(groups_1, BLOB_DDL)
-    found = docs.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(digit_2, BLOB_DDL)
-    found = by_bucket(found).mapInArrow(groups_2, BLOB_DDL)
+    found = docs.select("doc", "version", "text").mapInArrow(tidy(digit_1), BLOB_DDL)
+    found = by_bucket(found).mapInArrow(tidy(groups_1), BLOB_DDL)
+    found = docs.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(tidy_groups(digit_2), BLOB_DDL)
+    found = by_bucket(found).mapInArrow(tidy(groups_2), BLOB_DDL)
     kinds = [T.StructField(f"keep_{k}", df.schema[c].dataType) for k, c in enumerate(keep)]
     out = T.StructType([T.StructField("doc", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType()), *kinds])
     schema = to_arrow_schema(out)
-    done = docs.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(lambda a, b: removal(a, b, width, len(keep), schema), out)
+    done = docs.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(tidy_groups(lambda a, b: removal(a, b, width, len(keep), schema)), out)
     doc_id = F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id")
     return done.select(doc_id, "spans", "kept", *(F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)))
 

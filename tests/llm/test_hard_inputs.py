@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from tessera.llm import byte_bpe, embedding_dedup, quality_rules, simhash_dedup, simhash_wide, substring_dedup, units
+from tessera.llm import byte_bpe, common, embedding_dedup, quality_classifier, quality_rules, simhash_dedup, simhash_wide, substring_dedup, units
 from tessera.llm.transducer import MergeTransducer
 
 from .helpers import passage
@@ -138,3 +140,49 @@ def test_near_copies_edges(spark):
     rows = [(3, None, "a"), (2, "", "b"), (4, "  ", "c"), (None, "x y", "d"), (5, "X Y", "e"), (6, "one two three four five six", "f"), (6, "one two three four five six", "f")]
     found = simhash_dedup.one_of_each(spark.createDataFrame(rows, kinds)).collect()
     assert sorted((r.doc_id, r.lang) for r in found) == [(2, "b"), (5, "e"), (6, "f")]
+
+
+def resident() -> int:
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096
+
+
+@pytest.mark.parametrize("wrap", [common.tidy, common.tidy_groups])
+def test_workers_give_back_memory(wrap):
+    """What a task frees below something that stays goes back to the machine, also if the task is stopped."""
+    stays = []
+
+    def batches(own):
+        held = [bytes(60_000) for _ in range(4_000)]
+        stays.append(bytes(60_000))
+        yield len(held)
+        yield 0
+
+    def group(own):
+        held = [bytes(60_000) for _ in range(4_000)]
+        stays.append(bytes(60_000))
+        return len(held)
+
+    table = pa.table({"data": [b"x" * common.LARGE_GROUP]})
+    before = resident()
+    if wrap is common.tidy:
+        run = wrap(batches)(iter([]))
+        assert next(run) == 4_000
+        run.close()
+    else:
+        assert wrap(group)(table) == 4_000
+    assert resident() - before < 60 << 20
+
+
+def test_the_driver_fits_in_blocks():
+    """The whole sample never lies unpacked in the driver."""
+    rng = np.random.default_rng(1)
+    counts = (rng.integers(0, 400, (1024, quality_classifier.N_FEATURES), np.int16) < 3).astype(np.float32)
+    rows = [quality_classifier.packed(c) for c in counts]
+    del counts
+    tracemalloc.start()
+    model = quality_classifier.Model(rows, np.arange(1024) % 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1024 * quality_classifier.N_FEATURES * 4
+    assert model.vectors.shape == (1024, quality_classifier.RANK)
