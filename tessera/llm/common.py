@@ -121,6 +121,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what materialize has written for df, which must not be read any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[0].endswith(f"/tessera-{spark.sparkContext.applicationId}"):
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what this application has materialized; call it when its results are written elsewhere."""
     place = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))

@@ -11,6 +11,10 @@ Equal vectors are first made one row. In a cell only counts and the links
 that join its vectors are passed on, never all pairs; cells of many vectors
 are split, and what visits them goes to each part.
 
+Cells that share a codeword share a bucket, and a vector goes to each bucket
+once. Buckets are taken in passes, each of which moves about twice the vectors'
+bytes (PASS_BYTES at least); its shuffle files go before the next.
+
 Only the sample (SAMPLE rows), the codebooks and the sizes of large cells (at
 most one number for each of the grid's cells, whose number is bounded) come
 to the driver.
@@ -23,6 +27,7 @@ their own; other columns aren't read; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_DDL, blob_rows, blob_table, bounded_batches, buckets, joined, materialize
+from .common import BLOB_DDL, blob_rows, blob_table, bounded_batches, buckets, discard, joined, materialize, tidy
 from .components import components
 from .rolling import long_hash
 from .suffix_dedup import grouped
@@ -39,6 +44,8 @@ from .suffix_dedup import grouped
 SAMPLE, ROUNDS, MOST_WORDS = 8000, 8, 512
 #: Vectors that a cell should hold, vectors of a part of a large cell, and rows of a block of products.
 CELL, PART, BLOCK = 64, 1024, 1024
+#: Bytes that a pass may move in any case, and in times the vectors' bytes, before compression.
+PASS_BYTES, PASS_SHARE = 256 << 20, 2
 #: Recall to be met on the sample, and pairs of it that are enough to measure it on.
 RECALL, PAIRS = 0.99, 200
 SEED = 7
@@ -120,19 +127,53 @@ class MultiIndex:
         return visits
 
 
+class Buckets:
+    """Which buckets hold a cell's parts: cells of one first codeword, and of near numbers of the second one, share a bucket.
+
+    So a vector, whose cells share codewords, goes to few buckets, and to each once.
+    """
+
+    def __init__(self, size: int, n: int):
+        self.size, self.n = size, n
+        self.blocks = min(size, -(-n // size))
+        self.parts = np.ones(size * size, np.int64)
+
+    def split(self, large: dict[int, int]) -> None:
+        """large: the parts of large cells."""
+        for cell, times in large.items():
+            self.parts[cell] = times
+
+    def places(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, part, bucket) of all parts of the cells that each row visits."""
+        flat = cells.ravel().astype(np.int64)
+        times = self.parts[flat]
+        row, cell = np.repeat(np.repeat(np.arange(len(cells)), cells.shape[1]), times), np.repeat(flat, times)
+        part = np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
+        block = (cell // self.size) * self.blocks + cell % self.size * self.blocks // self.size
+        return row, cell, part, long_hash(block * 65_536 + part) % self.n
+
+    def copies(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, bucket), each pair once."""
+        row, _, _, to = self.places(cells)
+        both = np.unique(row * self.n + to)
+        return both // self.n, both % self.n
+
+
 def record(dim: int, visits: int, number: str) -> np.dtype:
-    return np.dtype([("node", "<i8"), ("n", "<i8"), ("own", "<i4"), ("cell", "<i4"), ("part", "<i4"), ("member", "<i4"), ("cells", "<i4", (visits,)), ("vector", number, (dim,))])
+    return np.dtype([("node", "<i8"), ("n", "<i8"), ("own", "<i4"), ("cells", "<i4", (visits,)), ("vector", number, (dim,))])
+
+
+def unpacked(batch: pa.RecordBatch, visits: int) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("cells").to_pylist()), "<i4").reshape(-1, visits)
 
 
 def vectors_of(batch: pa.RecordBatch, dim: int) -> np.ndarray:
     return batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def verified(records: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def verified(records: np.ndarray, member: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(a, b, n) of one part of a cell: n links of a (b is 0), or a and b are joined (n is 0)."""
-    members = records[records["member"] == 1]
-    if not len(members):
-        return
+    members = records[member]
     y = units(members["vector"].astype(np.float64))
     for k in range(0, len(records), BLOCK):
         probes = records[k : k + BLOCK]
@@ -188,42 +229,61 @@ def embedding_dedup(df: DataFrame, limit: float = 0.9, id_col: str = "vec_id", v
             own = index.value.order(units(vectors_of(batch, dim).astype(np.float64)), 1)[:, 0]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32())], ["cell"])
 
-    large = classes.select("embedding").mapInArrow(cells_of, "cell int").groupBy("cell").count().where(F.col("count") > PART)
+    buckets_of = Buckets(index.value.size, n_buckets)
+
+    def placing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = index.value.order(units(vectors_of(batch, dim).astype(np.float64)), visits)
+            data = pa.array([row.tobytes() for row in cells.astype("<i4")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, data], [*batch.schema.names, "cells"])
+
+    placed = materialize(classes.select("first", "n", "node", "embedding").mapInArrow(tidy(placing), f"first long, n long, node long, embedding array<{number}>, cells binary"))
+    discard(classes)
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(unpacked(batch, visits)[:, 0]), pa.int32())], ["cell"])
+
+    large = placed.select("cells").mapInArrow(cells_of, "cell int").groupBy("cell").count().where(F.col("count") > PART)
     # One number for each cell of the grid at most; large cells only.
-    split = {r.cell: -(-r["count"] // PART) for r in large.collect()}
+    buckets_of.split({r.cell: -(-r["count"] // PART) for r in large.collect()})
+    copies = len(buckets_of.copies(index.value.order(units(sample), visits))[0]) / len(sample)
+    passes = min(n_buckets, max(1, math.ceil(copies * kind.itemsize * n / max(PASS_BYTES, PASS_SHARE * dim * kind["vector"].base.itemsize * n))))
 
-    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def filed(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = vectors_of(batch, dim)
-            nodes = batch.column("node").to_numpy()
-            cells = index.value.order(units(vectors.astype(np.float64)), visits)
-            out = np.zeros(len(nodes), kind)
-            out["node"], out["n"], out["vector"], out["own"], out["cells"] = nodes, batch.column("n").to_numpy(), vectors, cells[:, 0], cells
-            spread = np.repeat(out, visits)
-            spread["cell"] = cells.ravel()
-            times = np.array([split.get(c, 1) for c in spread["cell"].tolist()])
-            spread = np.repeat(spread, times)
-            spread["part"] = np.arange(len(spread)) - np.repeat(np.cumsum(times) - times, times)
-            times = np.repeat(times, times)
-            spread["member"] = (spread["cell"] == spread["own"]) & ((long_hash(spread["node"]) % times) == spread["part"])
-            to = (long_hash(spread["cell"].astype(np.int64) * 65_536 + spread["part"]) % n_buckets).astype(np.int32)
-            yield from blob_table(blob_rows(to, 0, spread)).to_batches(max_chunksize=64)
+            cells = unpacked(batch, visits)
+            out = np.zeros(len(cells), kind)
+            out["node"], out["n"], out["vector"] = batch.column("node").to_numpy(), batch.column("n").to_numpy(), vectors_of(batch, dim)
+            out["own"], out["cells"] = cells[:, 0], cells
+            row, to = buckets_of.copies(cells)
+            row, to = row[to % passes == turn], to[to % passes == turn]
+            for k in range(0, len(row), 8192):
+                yield from blob_table(blob_rows(to[k : k + 8192].astype(np.int32), 0, out[row[k : k + 8192]])).to_batches(max_chunksize=64)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, blobs in grouped(batches):
+        for _, bucket, blobs in grouped(batches):
             records = joined(blobs, kind)
-            place = records["cell"].astype(np.int64) * 65_536 + records["part"]
+            row, cell, part, to = buckets_of.places(records["cells"])
+            row, cell, part = row[to == bucket], cell[to == bucket], part[to == bucket]
+            member = (cell == records["own"][row]) & (long_hash(records["node"][row]) % buckets_of.parts[cell] == part)
+            place = cell.astype(np.int64) * 65_536 + part
             order = np.argsort(place, kind="stable")
             cuts = np.flatnonzero(np.diff(place[order])) + 1
             for own in np.split(order, cuts):
-                for a, b, links in verified(records[own], limit):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(links)], ["a", "b", "n"])
-
-    moved = classes.select("node", "n", "embedding").mapInArrow(filed, BLOB_DDL).repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket")
-    found = materialize(moved.mapInArrow(compare, "a long, b long, n long"))
+                if member[own].any():
+                    for a, b, links in verified(records[row[own]], member[own], limit):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(links)], ["a", "b", "n"])
+
+    found = None
+    for turn in range(passes):
+        moved = placed.select("node", "n", "embedding", "cells").mapInArrow(tidy(lambda batches, turn=turn: filed(batches, turn)), BLOB_DDL)
+        moved = moved.repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket")
+        part = materialize(moved.mapInArrow(tidy(compare), "a long, b long, n long"))
+        found = part if found is None else found.unionByName(part)
     counts = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = components(found.where("n = 0"))
-    named = classes.join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = placed.drop("cells").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(least, "root").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     done = usable.join(named, "embedding").select("vec_id", "n_links", "component_id")

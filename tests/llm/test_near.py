@@ -189,3 +189,30 @@ def test_visits_hold_for_pairs_at_the_limit():
     one = (index.order(x, index.visits) == index.order(y, 1)).any(axis=1)
     two = (index.order(y, index.visits) == index.order(x, 1)).any(axis=1)
     assert (one | two).mean() >= 0.99
+
+
+@pytest.mark.parametrize("part", [1024, 8])
+def test_passes_over_buckets_lose_no_link(spark, monkeypatch, part):
+    """Passes that move little at once give what one pass gives; large cells too."""
+    rows = clusters(5, 400)
+    plain = embedding_dedup.embedding_dedup(vector_frame(spark, rows)).orderBy("vec_id").collect()
+    monkeypatch.setattr(embedding_dedup, "PART", part)
+    monkeypatch.setattr(embedding_dedup, "PASS_BYTES", 1)
+    written = []
+    monkeypatch.setattr(embedding_dedup, "materialize", lambda df, f=embedding_dedup.materialize: written.append(df.columns) or f(df))
+    assert embedding_dedup.embedding_dedup(vector_frame(spark, rows)).orderBy("vec_id").collect() == plain
+    assert written.count(["a", "b", "n"]) > 1
+
+
+def test_a_vector_goes_to_a_bucket_once():
+    """Thirty-two visits of a vector whose cells share codewords: a third of that in copies at most, each with all that it visits there."""
+    rng = np.random.default_rng(6)
+    x = embedding_dedup.units(rng.normal(size=(4000, 64)))
+    index = embedding_dedup.MultiIndex(x, 50_000, 0.9)
+    cells = index.order(x[:500], 32)
+    where = embedding_dedup.Buckets(index.size, 24)
+    where.split({int(cells[0, 0]): 3})
+    row, cell, part, to = where.places(cells)
+    copies = set(zip(*(c.tolist() for c in where.copies(cells))))
+    assert copies == set(zip(row.tolist(), to.tolist())) and len(copies) <= 500 * 32 // 3
+    assert len(row) == 500 * 32 + 2 * int((cells == cells[0, 0]).sum())
