@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -216,3 +217,52 @@ def test_a_vector_goes_to_a_bucket_once():
     copies = set(zip(*(c.tolist() for c in where.copies(cells))))
     assert copies == set(zip(row.tolist(), to.tolist())) and len(copies) <= 500 * 32 // 3
     assert len(row) == 500 * 32 + 2 * int((cells == cells[0, 0]).sum())
+
+
+def test_visits_take_bounded_memory():
+    """Many visits on a large grid are ordered a few rows at a time."""
+    rng = np.random.default_rng(7)
+    index = embedding_dedup.MultiIndex.__new__(embedding_dedup.MultiIndex)
+    index.half, index.size, index.words = 4, 256, [rng.normal(size=(256, 4)) for _ in range(2)]
+    x = embedding_dedup.units(rng.normal(size=(1024, 8)))
+    tracemalloc.start()
+    cells = index.order(x, 1024)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20 and (cells[:5] == index.order(x[:5], 1024)).all()
+
+
+@pytest.mark.parametrize("large", [1, 3])
+def test_a_bucket_holds_its_members_only(monkeypatch, large):
+    """Memory of a bucket doesn't follow those that visit it, and the links are those of all pairs."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 1 << 16)
+    monkeypatch.setattr(embedding_dedup, "STEP", 1 << 12)
+    rng = np.random.default_rng(8)
+    where = embedding_dedup.Buckets(4, 1)
+    where.split({0: large})
+    kind, visitor = (embedding_dedup.record(16, v, "<f4") for v in (8, 0))
+    peaks = []
+    for n in (2_000, 16_000):
+        rows = np.zeros(n + 40, kind)
+        rows["vector"] = rng.normal(size=(n + 40, 16))
+        rows["vector"][:800] = rows["vector"][n + np.arange(800) % 40] + 0.05 * rows["vector"][:800]
+        rows["node"], rows["n"], rows["own"], rows["cells"] = np.arange(n + 40), 1, 1, np.arange(1, 9)
+        rows["own"][n:], rows["cells"][:, 0], rows["cells"][n:] = 0, np.where(np.arange(n + 40) < n, 0, 1), np.arange(8)
+        # The first n are members elsewhere: of a place that this bucket doesn't hold.
+        rows["own"][:n] = 15
+        blobs = sorted(embedding_dedup.sent(rows, visitor, where, 1, 0, where.wanted(1, 0)), key=lambda r: r[1])
+        tracemalloc.start()
+        bucket = embedding_dedup.Bucket(kind, visitor, where.parts, 0.9)
+        links = np.zeros(n + 40, np.int64)
+        for _, what, data, places in blobs:
+            for a, _, count in bucket.add(what, data, places):
+                np.add.at(links, a, count)
+        for a, _, count in bucket.flush():
+            np.add.at(links, a, count)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        x = embedding_dedup.units(rows["vector"].astype(np.float64))
+        near = x @ x[n:].T >= 0.9
+        near[n + np.arange(40), np.arange(40)] = False
+        assert (links[:n] == near[:n].sum(axis=1)).all() and (links[n:] == near.sum(axis=0)).all() and near[:n].sum() >= 800
+    assert peaks[1] < 2 * peaks[0] and peaks[1] < 4 << 20
