@@ -123,3 +123,38 @@ def test_scan_and_manifest(spark):
     plain = [{c: r[c] for c in names} for r in rows.orderBy("doc_id", "document_version", "position").collect()]
     for some, own in ((rows, plain), (rows.where("false"), [])):
         assert corpus.portable_digest(some) == hashlib.sha256(json.dumps(own, sort_keys=True).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("longest", [40, 400])
+def test_a_long_page_waits_in_bounded_state(longest):
+    """Rows of a page wait for no more than a budget of characters; windows are those of the whole page."""
+    rng = random.Random(longest)
+    rows = [chunk("d", p, "x" * rng.randint(1, 60), f"h{p // rng.randint(1, longest)}", "t" * rng.randint(1, 4)) for p in range(3000)]
+    packer, most = contexts.Packer(200), 0
+    for r in rows:
+        packer.add((r[0], r[1]), b"k", 1, r[3], r[6], len("PAGE TITLE: ") + len(r[7]) + 2, len(f"SECTION: {r[6]}\n{r[5]}"))
+        most = max(most, len(packer.waiting))
+    packer.finish()
+    expected = [k for k, (_, chunks) in enumerate(windows_model(rows, 200).items(), 1) for _ in chunks]
+    assert [r[2] for r in packer.out[:-1]] == expected and packer.out[-1][-1] == 3000
+    assert most <= 200 // len("SECTION: h\nx") + 1
+
+
+def test_no_task_gathers_the_texts_of_a_page(spark, monkeypatch):
+    """Only sizes are brought together by page: no window over a page, no text in what is numbered."""
+    numbered = []
+    monkeypatch.setattr(contexts, "number_windows", lambda rows, budget, f=contexts.number_windows: numbered.append(rows.columns) or f(rows, budget))
+    built = contexts.page_contexts(frame(spark, random_rows(1)), 25)
+    assert not {"rendered", "chunk_text", "title", "source_title"} & set(numbered[0])
+    for query in (built, contexts.context_summary(built)):
+        plan = query._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert not [line for line in plan if "Window [" in line and "[doc_id#" in line]
+
+
+def test_rows_of_one_key_keep_their_texts(spark):
+    """Rows that share their page, place and size, or everything, or have no place at all."""
+    rows = [chunk("d", 0, t) for t in ("aa", "bb", "aa")] + [("d", None, "c", None, None, "cc", None, None, None)] * 2 + [(None, None, "c", "k", 1, "dd", "H", "T", "u")]
+    built = contexts.page_contexts(frame(spark, rows), 30).collect()
+    words = sorted(line for r in built for line in r.context.split("\n") if len(line) == 2)
+    assert words == ["aa", "aa", "bb", "cc", "cc", "dd"]
+    assert sorted(r.page_chunk_count for r in built) == [1, 2, 3]
