@@ -14,6 +14,10 @@ from ..sources.files import exists
 from .checks import valid_messages
 
 
+#: Bytes that the driver moves at once when it joins a file's parts.
+COPY_BYTES = 1 << 20
+
+
 def revalidated(saved: DataFrame, current: DataFrame, context: str = "context", key: str = "context_id") -> DataFrame:
     """Adds `kept`: whether a saved context still reads as the current one of its id."""
     now = current.select(key, F.sha2(normalize(F.col(context)), 256).alias("_now"))
@@ -58,7 +62,9 @@ def refuse_existing(spark: SparkSession, directory: str, names: list[str]) -> No
 def write_jsonl(rows: DataFrame, path: str, field: str | None = None, order: list[str] | None = None) -> None:
     """One JSON object a line, of one column or of the whole row, as a single file that must not exist.
 
-    The file is written aside and then renamed, so readers never see half of it.
+    Tasks write parts of it, each its own rows, in order; the driver's JVM then
+    streams the parts one after another into a file aside, with a fixed buffer,
+    and renames it, so readers never see half of it.
     """
     spark = rows.sparkSession
     fs, place = _fs(spark, path)
@@ -67,18 +73,36 @@ def write_jsonl(rows: DataFrame, path: str, field: str | None = None, order: lis
     rows = rows.orderBy(order) if order else rows
     value = F.col(field) if field else F.struct(*rows.columns)
     aside = f"{path}.{uuid.uuid4().hex}"
-    rows.select(F.to_json(value).alias("value")).coalesce(1).write.mode("errorifexists").text(aside)
+    rows.select(F.to_json(value).alias("value")).write.mode("errorifexists").option("compression", "none").text(aside)
     parts = [s.getPath() for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(aside)) if s.getPath().getName().startswith("part-")]
-    if parts:
-        fs.rename(parts[0], place)
-    else:
-        fs.create(place, False).close()
+    # part-00007-...: the number of its task; names of one task's files go by their ends.
+    parts.sort(key=lambda p: (int(p.getName().split("-")[1]), p.getName()))
+    whole = parts[0] if len(parts) == 1 else spark._jvm.org.apache.hadoop.fs.Path(f"{aside}/whole")
+    if len(parts) != 1:
+        out = fs.create(whole, False)
+        try:
+            for part in parts:
+                source = fs.open(part)
+                try:
+                    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, COPY_BYTES)
+                finally:
+                    source.close()
+        finally:
+            out.close()
+    if not fs.rename(whole, place):
+        raise FileExistsError(path)
     fs.delete(spark._jvm.org.apache.hadoop.fs.Path(aside), True)
 
 
 def file_metadata(spark: SparkSession, path: str) -> dict:
     """Path, lines that aren't blank, and SHA-256 of the bytes."""
-    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("sha256")).first().sha256
+    fs, place = _fs(spark, path)
+    # Bytes of one file have one order: the driver's JVM streams them, and holds a buffer only.
+    source = fs.open(place)
+    try:
+        digest = spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(source)
+    finally:
+        source.close()
     return {"path": path, "rows": spark.read.text(path).where(F.trim("value") != "").count(), "sha256": digest}
 
 

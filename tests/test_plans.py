@@ -5,6 +5,7 @@ import os
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.operators import evaluation
@@ -247,3 +248,29 @@ def test_stream_into_the_store(spark, root):
     spark.createDataFrame([("c2", "{}"), ("c3", "{}")], "context_id string, payload string").write.mode("append").parquet(f"{root}/in")
     stage_stream(read(), store, "contexts", f"{root}/cp").awaitTermination()
     assert sorted(r.context_id for r in store.table("contexts").collect()) == ["c1", "c2", "c3"]
+
+
+@pytest.mark.parametrize("order", [["id"], None])
+def test_no_task_reads_a_whole_export(spark, root, order):
+    """Parts are written by many tasks, and the one file has them in order."""
+    rows = spark.range(0, 20_000, 1, 13).select("id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 8).alias("text"))
+    tracker, group = spark.sparkContext.statusTracker(), f"export-{order}"
+    spark.sparkContext.setJobGroup(group, group)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    try:
+        write_jsonl(rows.repartition(7) if order else rows, f"{root}/export.jsonl", order=order)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext._jsc.clearJobGroup()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    last = max(s for j in jobs for s in j.stageIds)
+    assert tracker.getStageInfo(last).numTasks > 1
+    lines = [json.loads(line) for line in open(f"{root}/export.jsonl")]
+    assert [r["id"] for r in lines] == list(range(20_000))
+    assert [n for n in os.listdir(root) if not n.startswith(".")] == ["export.jsonl"]
+
+
+def test_empty_exports_are_empty_files(spark, root):
+    write_jsonl(spark.range(0), f"{root}/empty.jsonl", order=["id"])
+    meta = file_metadata(spark, f"{root}/empty.jsonl")
+    assert meta["rows"] == 0 and os.path.getsize(f"{root}/empty.jsonl") == 0
